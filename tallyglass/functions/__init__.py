@@ -10,7 +10,7 @@ from tallyglass.functions.columns import (
     same_values,
     set_position,
 )
-from tallyglass.functions.skew import broadcast_checked, hot_keys, replicate_for_salt, with_salt
+from tallyglass.functions.skew import broadcast_checked, hot_keys, with_salt
 
 __all__ = [
     "active_bits",
@@ -21,7 +21,6 @@ __all__ = [
     "hot_keys",
     "last_element",
     "one_of",
-    "replicate_for_salt",
     "same_values",
     "set_position",
     "with_salt",

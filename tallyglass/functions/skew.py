@@ -46,15 +46,6 @@ def with_salt(
     return joined.withColumn(name, F.when(F.col("salts").isNull(), F.lit(0)).otherwise(spread)).drop("salts")
 
 
-def replicate_for_salt(
-    df: DataFrame, hot: DataFrame, keys: Sequence[str], name: str = "salt"
-) -> DataFrame:
-    """One copy of each row per part of its key, to meet :func:`with_salt` rows."""
-    joined = df.join(F.broadcast(hot), list(keys), "left")
-    parts = F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)
-    return joined.withColumn(name, F.explode(parts)).drop("salts")
-
-
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``max_rows`` rows.
 

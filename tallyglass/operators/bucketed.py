@@ -7,49 +7,28 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.functions.skew import HOT_ROWS, broadcast_checked, hot_keys, replicate_for_salt, with_salt
+from tallyglass.functions.skew import broadcast_checked
 from tallyglass.operators.profile import top_one
 from tallyglass.sources.tables import write_bucketed
 
 
 def bucketed_fact_join(
-    one_side: DataFrame,
-    facts: Mapping[str, DataFrame],
-    key: str,
-    spread_by: Sequence[str],
+    tables: Mapping[str, DataFrame],
+    on: Sequence[str],
     n_buckets: int = 16,
     dims: Sequence[tuple[DataFrame, str]] = (),
-    hot_rows: int = HOT_ROWS,
-    table_prefix: str = "fact",
 ) -> DataFrame:
-    """Join ``one_side`` (one row per ``key``) with facts on key and ``spread_by``.
+    """Write each table bucketed on exactly the join key, and join them without an exchange.
 
-    All tables are written bucketed on the key and a salt, so the joins need no
-    exchange.  The salt is 0 except for a key with more than ``hot_rows`` rows
-    in a fact, whose rows are spread over several buckets by a hash of
-    ``spread_by`` while its row of ``one_side`` is copied to each.  ``dims`` are
-    (table, join column) pairs, broadcast if their size check allows it.
+    ``on`` should be the grain of the tables, so no join multiplies rows and no
+    bucket fills up with one key: aggregate facts per ``on`` first, or name a
+    second column (match and player, say) that spreads a large key.  ``dims``
+    are (table, join column) pairs, broadcast if their size check allows it.
     """
-    spark = one_side.sparkSession
-    salt = "salt"
-    hot = None
-    for fact in facts.values():
-        found = hot_keys(fact, [key], hot_rows)
-        hot = found if hot is None else hot.unionByName(found)
-    hot = hot.groupBy(key).agg(F.max("salts").alias("salts"))
-
-    on = [key, salt]
-    one = write_bucketed(
-        spark, replicate_for_salt(one_side, hot, [key], salt), f"{table_prefix}_one", n_buckets, on
-    )
     joined = None
-    for name, fact in facts.items():
-        stored = write_bucketed(
-            spark, with_salt(fact, hot, [key], spread_by, salt), f"{table_prefix}_{name}", n_buckets, on,
-            sort_by=[*on, *spread_by],
-        )
-        joined = stored if joined is None else joined.hint("merge").join(stored, [*on, *spread_by])
-    joined = joined.hint("merge").join(one, on).drop(salt)
+    for name, table in tables.items():
+        stored = write_bucketed(table.sparkSession, table, name, n_buckets, on)
+        joined = stored if joined is None else joined.hint("merge").join(stored, list(on))
     for dim, column in dims:
         joined = joined.join(broadcast_checked(dim), column)
     return joined

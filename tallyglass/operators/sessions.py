@@ -68,9 +68,11 @@ def session_compare(sessions: DataFrame, host: str, hosts: Sequence[str], sort:
 
 def session_check(events: DataFrame, sessions: DataFrame, ts: str) -> DataFrame:
     """One row: events with a time, hits over all sessions, and whether they agree."""
-    seen = events.agg(F.count(ts).alias("event_count"))
-    counted = sessions.agg(F.coalesce(F.sum("num_hits"), F.lit(0)).cast("bigint").alias("session_hits"))
-    both = seen.withColumn("_one", F.lit(1)).join(counted.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    seen = events.agg(F.count(ts).alias("event_count"), F.lit(0).cast("bigint").alias("session_hits"))
+    counted = sessions.agg(
+        F.lit(0).cast("bigint").alias("event_count"), F.coalesce(F.sum("num_hits"), F.lit(0)).cast("bigint").alias("session_hits")
+    )
+    both = seen.unionByName(counted).agg(F.sum("event_count").alias("event_count"), F.sum("session_hits").alias("session_hits"))
     return both.withColumn("agrees", F.col("event_count") == F.col("session_hits"))
 
 

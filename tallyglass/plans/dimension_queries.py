@@ -23,20 +23,20 @@ from tallyglass.sources.schemas import GRADES
 FIRST, LAST = 1995, 2001
 KEYS = ["customer_id"]
 STATS = ["order_count", "spend_cents"]
-STATIC = ["priority", "status"]
+STATIC = ["priority", "last_order_id"]
 SPEND_BOUNDS = [(60_000_000, "star"), (40_000_000, "good"), (20_000_000, "average")]
 PRICE_BOUNDS = [(35_000_000, "star"), (25_000_000, "good"), (15_000_000, "average")]
 ATTRS = ["grade", "is_active"]
 
 ORDER_ROWS = """order_rows AS (
   SELECT o_custkey AS customer_id, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderkey AS order_id,
-         o_orderpriority AS priority, o_orderstatus AS status, CAST(round(o_totalprice * 100) AS BIGINT) AS price_cents
+         CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority, CAST(round(o_totalprice * 100) AS BIGINT) AS price_cents
   FROM orders)"""
 
 SEASONS = f"""{ORDER_ROWS},
 seasons AS (
   SELECT customer_id, year, CAST(count(*) AS INTEGER) AS order_count, CAST(sum(price_cents) AS BIGINT) AS spend_cents,
-         max(priority) AS priority, max(status) AS status
+         max(priority) AS priority, max(order_id) AS last_order_id
   FROM order_rows GROUP BY customer_id, year)"""
 
 GRID = """grid AS (
@@ -47,7 +47,7 @@ GRID = """grid AS (
 SNAPSHOTS = f"""{SEASONS},
 {GRID},
 placed AS (
-  SELECT g.customer_id, g.year, s.year AS seen, s.priority, s.status,
+  SELECT g.customer_id, g.year, s.year AS seen, s.priority, s.last_order_id,
          CASE WHEN s.spend_cents > 60000000 THEN 'star' WHEN s.spend_cents > 40000000 THEN 'good'
               WHEN s.spend_cents > 20000000 THEN 'average' WHEN s.year IS NOT NULL THEN 'bad' END AS grade,
          s.order_count, s.spend_cents
@@ -55,7 +55,7 @@ placed AS (
 snapshots AS (
   SELECT customer_id, year,
          last_value(priority IGNORE NULLS) OVER w AS priority,
-         last_value(status IGNORE NULLS) OVER w AS status,
+         last_value(last_order_id IGNORE NULLS) OVER w AS last_order_id,
          string_agg(CASE WHEN seen IS NOT NULL THEN seen || ':' || order_count || ':' || spend_cents END, ',') OVER w AS history,
          last_value(grade IGNORE NULLS) OVER w AS grade,
          CAST(year - max(seen) OVER w AS INTEGER) AS periods_since_active,
@@ -100,8 +100,8 @@ def q_backfill(t: Tables):
 @query(
     "cumulative_backfill_max_static",
     f"""WITH {SNAPSHOTS},
-    fixed AS (SELECT customer_id, max(priority) AS priority, max(status) AS status FROM seasons GROUP BY customer_id)
-    SELECT s.* REPLACE (f.priority AS priority, f.status AS status) FROM snapshots s JOIN fixed f USING (customer_id)""",
+    fixed AS (SELECT customer_id, max(priority) AS priority, max(last_order_id) AS last_order_id FROM seasons GROUP BY customer_id)
+    SELECT s.* REPLACE (f.priority AS priority, f.last_order_id AS last_order_id) FROM snapshots s JOIN fixed f USING (customer_id)""",
 )
 def q_backfill_max(t: Tables):
     return history_text(snapshots(t, LAST, static_rule="max"))
@@ -115,13 +115,13 @@ def q_step(t: Tables):
 
 
 MULTI = f"""WITH {ORDER_ROWS},
-per_year AS (SELECT customer_id, year, avg(price_cents) AS score, max(status) AS status
+per_year AS (SELECT customer_id, year, avg(price_cents) AS score, max(priority) AS priority
              FROM order_rows WHERE year <= {{at}} GROUP BY customer_id, year),
-state AS (SELECT customer_id, max(year) AS last_year, arg_max(score, year) AS score, arg_max(status, year) AS status
+state AS (SELECT customer_id, max(year) AS last_year, arg_max(score, year) AS score, arg_max(priority, year) AS priority
           FROM per_year GROUP BY customer_id),
 arrays AS (SELECT customer_id, string_agg(order_id || ':' || price_cents, ',' ORDER BY year, order_id) AS items
            FROM order_rows WHERE year <= {{at}} GROUP BY customer_id)
-SELECT customer_id, CAST(0 AS BIGINT) AS segment, status, items,
+SELECT customer_id, CAST(0 AS BIGINT) AS segment, priority, items,
        CASE WHEN score > 35000000 THEN 'star' WHEN score > 25000000 THEN 'good'
             WHEN score > 15000000 THEN 'average' ELSE 'bad' END AS grade,
        last_year = {{at}} AS is_active, CAST({{at}} AS INTEGER) AS year
@@ -132,7 +132,7 @@ MULTI_ARGS = {
     "item": ["order_id", "price_cents"],
     "item_id": ["order_id"],
     "grade": price_grade,
-    "label": ["status"],
+    "label": ["priority"],
 }
 
 

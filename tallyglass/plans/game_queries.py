@@ -32,20 +32,32 @@ match_medals AS (
 
 @query(
     "bucketed_fact_join",
+    f"""WITH {FACTS},
+    details AS (SELECT match_id, count(*) AS players, CAST(sum(kills) AS BIGINT) AS kills FROM match_details GROUP BY match_id),
+    medals AS (SELECT match_id, CAST(sum(medal_count) AS BIGINT) AS medal_count FROM match_medals GROUP BY match_id)
+    SELECT match_id, playlist_id, mapid, players, kills, medal_count, n_name AS map_name
+    FROM matches JOIN details USING (match_id) JOIN medals USING (match_id) JOIN nation ON n_nationkey = mapid""",
+)
+def q_bucketed(t: Tables):
+    details = t.match_details().groupBy("match_id").agg(F.count(F.lit(1)).alias("players"), F.sum("kills").alias("kills"))
+    medals = t.match_medals().groupBy("match_id").agg(F.sum("medal_count").alias("medal_count"))
+    tables = {"matches": t.matches(), "match_details": details, "match_medals": medals}
+    return bucketed_fact_join(tables, ["match_id"], dims=[(t.maps(), "mapid")])
+
+
+@query(
+    "bucketed_player_join",
     f"""WITH {FACTS}
     SELECT m.match_id, d.player_id, d.kills, g.medal_id, g.medal_count, m.playlist_id, m.mapid,
            p.p_name AS medal_name, n.n_name AS map_name
     FROM match_details d JOIN match_medals g USING (match_id, player_id) JOIN matches m USING (match_id)
     JOIN part p ON p.p_partkey = g.medal_id JOIN nation n ON n.n_nationkey = m.mapid""",
 )
-def q_bucketed(t: Tables):
-    return bucketed_fact_join(
-        t.matches(),
-        {"details": t.match_details(), "medals": t.match_medals()},
-        key="match_id",
-        spread_by=["player_id"],
-        dims=[(t.medals(), "medal_id"), (t.maps(), "mapid")],
-    )
+def q_bucketed_players(t: Tables):
+    """Facts per match and player; the match's columns are stored with the first fact."""
+    tables = {"player_details": t.match_details().join(t.matches(), "match_id"), "player_medals": t.match_medals()}
+    dims = [(t.medals(), "medal_id"), (t.maps(), "mapid")]
+    return bucketed_fact_join(tables, ["match_id", "player_id"], dims=dims)
 
 
 @query(
@@ -95,7 +107,10 @@ def q_map(t: Tables):
 )
 def q_filtered(t: Tables):
     wanted = t.medals().filter(F.col("medal_name") == "small ring")
-    rows = t.match_medals().join(broadcast_checked(wanted), "medal_id").join(t.matches(), "match_id")
+    given = t.game_details().select(
+        F.col("game_id").alias("match_id"), F.col("player_id").alias("medal_id"), F.lit(1).alias("medal_count")
+    )
+    rows = given.join(broadcast_checked(wanted), "medal_id").join(t.matches(), "match_id")
     return top_filtered_sum(rows, F.col("medal_name") == "small ring", "mapid", "medal_count", "medal_total")
 
 

@@ -30,8 +30,7 @@ class Tables:
             F.col("o_custkey").alias("customer_id"),
             F.year("o_orderdate").alias("year"),
             F.col("o_orderkey").alias("order_id"),
-            F.col("o_orderpriority").alias("priority"),
-            F.col("o_orderstatus").alias("status"),
+            F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"),
             cents(F.col("o_totalprice")).alias("price_cents"),
         )
 
@@ -41,7 +40,7 @@ class Tables:
             F.count(F.lit(1)).cast("int").alias("order_count"),
             F.sum("price_cents").alias("spend_cents"),
             F.max("priority").alias("priority"),
-            F.max("status").alias("status"),
+            F.max("order_id").alias("last_order_id"),
         )
 
     def game_details(self) -> DataFrame:

@@ -69,23 +69,25 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def upsert(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], partition_by: Sequence[str]) -> None:
     """Replace or add rows of a partitioned parquet table by key.
 
-    Only partitions ``source`` touches are read and written.  The merged rows
-    are staged in the shared folder first, since a plan cannot overwrite what it
-    reads.  ``keys`` include the partition columns and identify a source row.
-    A missing table is created.
+    Only partitions ``source`` touches are read and written.  ``source`` is
+    evaluated once, into the shared folder; the merged rows are staged there
+    too, since a plan cannot overwrite what it reads.  ``keys`` include the
+    partition columns and identify a source row.  A missing table is created.
     """
     if not path_exists(spark, path):
         overwrite_partition(source, path, partition_by)
         return
-    target = spark.read.parquet(path)
-    touched = source.select(*partition_by).distinct()
+    arrived = fresh_path(spark, "arrived")
+    source.write.parquet(arrived)
+    incoming = spark.read.schema(source.schema).parquet(arrived)
+    target = spark.read.schema(source.schema).parquet(path)
+    touched = incoming.select(*partition_by).distinct()
     affected = target.join(touched, list(partition_by), "left_semi").alias("old")
-    incoming = source.select(*target.columns)
     match = same_values([F.col(f"old.{k}") for k in keys], [F.col(f"new.{k}") for k in keys])
     untouched = affected.join(incoming.select(*keys).alias("new"), match, "left_anti")
-    staged = fresh_path(spark, "upsert")
-    untouched.unionByName(incoming).write.parquet(staged)
-    overwrite_partition(spark.read.schema(target.schema).parquet(staged), path, partition_by)
+    merged = fresh_path(spark, "merged")
+    untouched.unionByName(incoming).write.parquet(merged)
+    overwrite_partition(spark.read.schema(source.schema).parquet(merged), path, partition_by)
 
 
 def write_bucketed(

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyglass.sources.tables import overwrite_partition, path_exists
+from tallyglass.sources.tables import (
+    create_bucketed_snapshots,
+    overwrite_partition,
+    overwrite_table,
+    path_exists,
+)
 
 
 def empty_snapshot(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
@@ -39,3 +44,26 @@ def run_periods(
             prev = empty_snapshot(spark, schema)
         overwrite_partition(step(prev, at).select(*schema.names), path, [period])
     return spark.read.schema(schema).parquet(path)
+
+
+def run_periods_bucketed(
+    spark: SparkSession,
+    name: str,
+    path: str,
+    schema: T.StructType,
+    period: str,
+    periods: Iterable[Any],
+    step: Callable[[DataFrame, Any], DataFrame],
+    keys: Sequence[str],
+    n_buckets: int,
+    previous: Callable[[Any], Any] = lambda p: p - 1,
+) -> DataFrame:
+    """:func:`run_periods` into a catalog table whose snapshots are bucketed by key.
+
+    The previous snapshot, the large side of a step, is not shuffled again.
+    """
+    create_bucketed_snapshots(spark, name, schema, period, keys, n_buckets, path)
+    for at in periods:
+        prev = spark.table(name).filter(F.col(period) == F.lit(previous(at)))
+        overwrite_table(step(prev, at), name)
+    return spark.table(name)

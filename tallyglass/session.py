@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,7 +48,7 @@ def build_session(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, for checkpoints and staged tables.
+    """Folder every executor can reach, for staged tables and stream logs.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only a local session
     without that setting gets a temporary folder.
@@ -62,7 +62,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         _own_dirs[app] = tempfile.mkdtemp(prefix="tallyglass-")
-        context.setCheckpointDir(_own_dirs[app])
     return _own_dirs[app]
 
 
@@ -70,8 +69,3 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder no other run uses."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so later stages survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyglass.functions.columns import same_values
 from tallyglass.session import fresh_path
@@ -42,7 +43,8 @@ def overwrite_table(df: DataFrame, table: str) -> None:
 
     In a partitioned table only the partitions present in ``df`` are replaced.
     """
-    _in_table_order(df, table).write.mode("overwrite").insertInto(table)
+    ordered = _in_table_order(df, table)
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
 
 
 def overwrite_partition(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
@@ -66,6 +68,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def _in_partitions_of(target: DataFrame, rows: DataFrame, partition_by: Sequence[str], most: int = 1000) -> DataFrame:
+    """Rows of ``target`` in the partitions ``rows`` has.
+
+    Up to ``most`` partition values become a filter, so Spark lists and reads
+    those folders only; with more, a semi join does it.
+    """
+    touched = rows.select(*partition_by).distinct()
+    values = touched.limit(most + 1).collect()
+    if len(values) > most:
+        return target.join(touched, list(partition_by), "left_semi")
+    wanted = F.lit(False)
+    for value in values:
+        wanted |= same_values([F.col(c) for c in partition_by], [F.lit(value[c]) for c in partition_by])
+    return target.filter(wanted)
+
+
 def upsert(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], partition_by: Sequence[str]) -> None:
     """Replace or add rows of a partitioned parquet table by key.
 
@@ -81,8 +99,7 @@ def upsert(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str
     source.write.parquet(arrived)
     incoming = spark.read.schema(source.schema).parquet(arrived)
     target = spark.read.schema(source.schema).parquet(path)
-    touched = incoming.select(*partition_by).distinct()
-    affected = target.join(touched, list(partition_by), "left_semi").alias("old")
+    affected = _in_partitions_of(target, incoming, partition_by).alias("old")
     match = same_values([F.col(f"old.{k}") for k in keys], [F.col(f"new.{k}") for k in keys])
     untouched = affected.join(incoming.select(*keys).alias("new"), match, "left_anti")
     merged = fresh_path(spark, "merged")
@@ -90,6 +107,22 @@ def upsert(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str
     overwrite_partition(spark.read.schema(source.schema).parquet(merged), path, partition_by)
 
 
+def create_bucketed_snapshots(
+    spark: SparkSession, name: str, schema: T.StructType, period: str, keys: Sequence[str], n_buckets: int, path: str
+) -> None:
+    """Create a table partitioned by period, each partition bucketed and sorted by key.
+
+    A step that joins the last snapshot on its key then reads it in place and
+    shuffles the new rows only.
+    """
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    by = ", ".join(keys)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY ({period}) "
+        f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {n_buckets} BUCKETS LOCATION '{path}'"
+    )
+
+
 def write_bucketed(
     spark: SparkSession,
     df: DataFrame,

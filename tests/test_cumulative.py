@@ -12,7 +12,8 @@ from tallyglass.operators.cumulative import (
     first_to_last_ratio,
     history_unnest,
 )
-from tallyglass.plans.periods import empty_snapshot, run_periods
+from tallyglass.plans.periods import empty_snapshot, run_periods, run_periods_bucketed
+from tallyglass.session import fresh_path
 from tests.conftest import rows_of
 
 BOUNDS = [(20, "star"), (15, "good"), (10, "average")]
@@ -77,6 +78,28 @@ def test_fold_of_steps_equals_backfill(spark, facts, tmp_path):
     assertDataFrameEqual(again.select(*schema.names), expected)
 
 
+def test_bucketed_snapshots_are_not_shuffled_again(spark, facts):
+    schema = empty_snapshot(spark, SNAPSHOT).schema
+    plans = []
+
+    def step(prev, season):
+        out = cumulative_step(
+            prev.hint("merge"), facts.filter(F.col("season") == season), ["name"], "season", ["pts"],
+            grade(F.col("pts"), BOUNDS, "bad"), ["town", "club"],
+        )
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    path = fresh_path(spark, "bucketed")
+    spark.sql("DROP TABLE IF EXISTS bucketed_people")
+    folded = run_periods_bucketed(
+        spark, "bucketed_people", path, schema, "season", range(2000, 2005), step, ["name"], 4
+    )
+    assertDataFrameEqual(folded.select(*schema.names), backfill(facts).select(*schema.names))
+    assert all(p.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in p for p in plans)
+    spark.sql("DROP TABLE bucketed_people")
+
+
 def test_max_static_and_no_rows_before_debut(facts):
     rows = backfill(facts, rule="max")
     assert rows_of(rows.filter("name = 'ann' and season = 2000"), "town", "club") == [("B", "y")]

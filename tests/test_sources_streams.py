@@ -68,6 +68,17 @@ def test_upsert_touches_only_its_partitions(spark, tmp_path):
     assert {f.name for f in (tmp_path / "t" / "month=feb").iterdir()} == before
 
 
+def test_upsert_reads_only_its_partitions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", 1, "jan"), ("a", 9, "feb")], "host string, hits int, month string")
+    tables.overwrite_partition(rows, path, ["month"])
+    target = spark.read.parquet(path)
+    picked = tables._in_partitions_of(target, rows.filter("month = 'jan'"), ["month"])
+    assert "PartitionFilters: [(month" in picked._jdf.queryExecution().executedPlan().toString()
+    many = tables._in_partitions_of(target, rows.filter("month = 'jan'"), ["month"], most=0)
+    assert rows_of(picked, "hits") == rows_of(many, "hits") == [(1,)]
+
+
 def test_assert_unique(spark):
     df = spark.createDataFrame([(1, 1), (1, 2)], "a int, b int")
     assert tables.assert_unique(df, ["a", "b"]) is df

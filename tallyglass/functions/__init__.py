@@ -10,7 +10,7 @@ from tallyglass.functions.columns import (
     same_values,
     set_position,
 )
-from tallyglass.functions.skew import broadcast_checked, hot_keys, with_salt
+from tallyglass.functions.skew import broadcast_checked, hot_keys, split_hot, with_salt
 
 __all__ = [
     "active_bits",
@@ -23,5 +23,6 @@ __all__ = [
     "one_of",
     "same_values",
     "set_position",
+    "split_hot",
     "with_salt",
 ]

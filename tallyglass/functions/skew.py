@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyglass.functions.columns import same_values
+
 HOT_ROWS = 500_000
 BROADCAST_ROWS = 500_000
 
@@ -42,8 +44,20 @@ def with_salt(
     ``hot`` comes from :func:`hot_keys`; other columns of it are passed on.
     """
     spread = F.pmod(F.xxhash64(*by), F.col("salts").cast("bigint")).cast("int")
-    joined = df.join(F.broadcast(hot), list(keys), "left")
-    return joined.withColumn(name, F.when(F.col("salts").isNull(), F.lit(0)).otherwise(spread)).drop("salts")
+    joined = df.alias("l").join(F.broadcast(hot.alias("h")), _same_key(keys), "left")
+    passed = [F.col(f"h.{c}").alias(c) for c in hot.columns if c not in (*keys, "salts")]
+    salt = F.when(F.col("salts").isNull(), F.lit(0)).otherwise(spread)
+    return joined.select("l.*", *passed, salt.alias(name))
+
+
+def split_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary keys and rows of hot keys, without a shuffle."""
+    left, right = df.alias("l"), F.broadcast(hot.select(*keys).alias("h"))
+    return left.join(right, _same_key(keys), "left_anti"), left.join(right, _same_key(keys), "left_semi")
+
+
+def _same_key(keys: Sequence[str]) -> Column:
+    return same_values([F.col(f"l.{k}") for k in keys], [F.col(f"h.{k}") for k in keys])
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,9 +1,11 @@
 """Ordered calculations per key that also hold for one very large key.
 
-A plain window per key would put a key's rows into one task.  Here rows are
-range-partitioned on key and order, which cuts a large key into even chunks;
+A plain window per key puts a key's rows into one task.  That is the cheapest
+plan for ordinary keys and is kept for them.  Keys above a row threshold are
+range-partitioned on key and order instead, which cuts each into even chunks;
 windows run inside a chunk, and each chunk is reduced to one small row that is
-combined with its key's other chunks.
+combined with its key's other chunks.  If no key is that large, the second
+branch is empty and Spark drops it at run time.
 """
 
 from __future__ import annotations
@@ -13,14 +15,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyglass.functions.skew import HOT_ROWS, hot_keys, split_hot
+
 
 def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Number the range partitions; a later chunk of a key holds later rows."""
     return df.repartitionByRange(*keys, *order).withColumn("_chunk", F.spark_partition_id())
 
 
+def _so_far(keys: Sequence[str], order: Sequence[str]):
+    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _misses_so_far(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """A run of hits is named by the number of misses before it."""
+    misses = F.sum(F.when(F.col("_hit"), 0).otherwise(1)).over(_so_far(keys, order))
+    return rows.withColumn("_run", misses)
+
+
 def longest_streak(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], pred: Column, name: str = "longest_streak"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    pred: Column,
+    name: str = "longest_streak",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Longest run of consecutive rows passing ``pred``, per key.
 
@@ -28,26 +47,33 @@ def longest_streak(
     a key without a passing row gets NULL.
     """
     rows = df.select(*keys, *order, F.coalesce(pred, F.lit(False)).alias("_hit"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = _chunked(rows, keys, order).withColumn("_miss", F.sum(F.when(F.col("_hit"), 0).otherwise(1)).over(upto))
-    # Within a chunk, a run is named by the misses before it.
-    runs = numbered.groupBy(*keys, "_chunk", "_miss").agg(F.count_if("_hit").alias("_n"))
-    chunks = runs.groupBy(*keys, "_chunk").agg(
-        F.max("_miss").alias("_misses"),
+    cold, hot = split_hot(rows, hot_keys(rows, keys, hot_rows), keys)
+    cold_runs = _misses_so_far(cold, keys, order).groupBy(*keys, "_run").agg(F.count_if("_hit").alias("_n"))
+    best = F.max("_n")
+    of_cold = cold_runs.groupBy(*keys).agg(F.when(best > 0, best).alias(name))
+    return of_cold.unionByName(_longest_streak_chunked(hot, keys, order, name))
+
+
+def _longest_streak_chunked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    in_chunk = [*keys, "_chunk"]
+    runs = _misses_so_far(_chunked(rows, keys, order), in_chunk, order).groupBy(*in_chunk, "_run").agg(
+        F.count_if("_hit").alias("_n")
+    )
+    chunks = runs.groupBy(*in_chunk).agg(
+        F.max("_run").alias("_misses"),
         F.max("_n").alias("_best"),
-        F.sum(F.when(F.col("_miss") == 0, F.col("_n")).otherwise(0)).alias("_head"),
-        F.max_by("_n", "_miss").alias("_tail"),
+        F.sum(F.when(F.col("_run") == 0, F.col("_n")).otherwise(0)).alias("_head"),
+        F.max_by("_n", "_run").alias("_tail"),
     )
-    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
-    placed = chunks.withColumn("_through", F.sum("_misses").over(by_chunk.rowsBetween(Window.unboundedPreceding, 0)))
+    # Across chunks a run is named by all misses of the key before it: a
+    # chunk's head continues the run before it, its tail opens the last one.
+    placed = chunks.withColumn("_through", F.sum("_misses").over(_so_far(keys, ["_chunk"])))
 
-    # Across chunks, the same name counts all misses of the key before it.
     def piece(run: Column, n: str) -> Column:
         return F.struct(run.alias("_run"), F.col(n).alias("_n"))
 
-    first = piece(F.col("_through") - F.col("_misses"), "_head")
-    pieces = F.when(F.col("_misses") == 0, F.array(first)).otherwise(F.array(first, piece(F.col("_through"), "_tail")))
+    head = piece(F.col("_through") - F.col("_misses"), "_head")
+    pieces = F.when(F.col("_misses") == 0, F.array(head)).otherwise(F.array(head, piece(F.col("_through"), "_tail")))
     joined = placed.select(*keys, "_best", F.inline(pieces)).groupBy(*keys, "_run").agg(
         F.sum("_n").alias("_n"), F.max("_best").alias("_best")
     )
@@ -56,19 +82,32 @@ def longest_streak(
 
 
 def rolling_sum_max(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, n: int, name: str
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    n: int,
+    name: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Largest sum of ``value`` over any ``n`` consecutive rows, per key.
 
     Frames at a key's start hold fewer rows, as ``ROWS n-1 PRECEDING`` gives.
-    ``order`` should be unique within a key and ``value`` an integer.  A chunk
-    passes on its first and last ``n - 1`` values for the frames that cross
-    its borders.
+    ``order`` should be unique within a key and ``value`` an integer.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
     rows = df.select(*keys, *order, value.cast("bigint").alias("_v"))
-    group = Window.partitionBy(*keys, "_chunk")
+    cold, hot = split_hot(rows, hot_keys(rows, keys, hot_rows), keys)
+    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - n, 0)
+    of_cold = cold.withColumn("_sum", F.sum("_v").over(frame)).groupBy(*keys).agg(F.max("_sum").alias(name))
+    return of_cold.unionByName(_rolling_sum_max_chunked(hot, keys, order, n, name))
+
+
+def _rolling_sum_max_chunked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, name: str) -> DataFrame:
+    """A chunk passes on its first and last ``n - 1`` values for the frames that cross its borders."""
+    in_chunk = [*keys, "_chunk"]
+    group = Window.partitionBy(*in_chunk)
     inside = group.orderBy(*order)
     numbered = (
         _chunked(rows, keys, order)
@@ -76,13 +115,18 @@ def rolling_sum_max(
         .withColumn("_sum", F.sum("_v").over(inside.rowsBetween(1 - n, 0)))
         .withColumn("_size", F.count(F.lit(1)).over(group))
     )
-    v = F.coalesce("_v", F.lit(0).cast("bigint"))
-    pair = F.struct("_i", v.alias("_v"))
-    chunks = numbered.groupBy(*keys, "_chunk").agg(
+    pair = F.struct("_i", F.coalesce("_v", F.lit(0).cast("bigint")).alias("_v"))
+
+    def values(which: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(which, pair)))["_v"]
+
+    chunks = numbered.groupBy(*in_chunk).agg(
+        F.max("_sum").alias("_alone"),
         F.max(F.when(F.col("_i") >= n, F.col("_sum"))).alias("_inner"),
-        F.array_sort(F.collect_list(F.when(F.col("_i") < n, pair)))["_v"].alias("_head"),
-        F.array_sort(F.collect_list(F.when(F.col("_size") - F.col("_i") < n - 1, pair)))["_v"].alias("_tail"),
+        values(F.col("_i") < n).alias("_head"),
+        values(F.col("_size") - F.col("_i") < n - 1).alias("_tail"),
     )
+    # The n - 1 chunks before hold at least the n - 1 values before.
     by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
     earlier = F.flatten(F.collect_list("_tail").over(by_chunk.rowsBetween(1 - n, -1))) if n > 1 else F.col("_tail")
     halo = F.slice(earlier, F.greatest(F.size(earlier) - (n - 2), F.lit(1)), F.lit(max(n - 1, 1)))
@@ -93,18 +137,18 @@ def rolling_sum_max(
 
     def frame_sum(i: Column) -> Column:
         start = F.greatest(before + i - (n - 1), F.lit(1))
-        frame = F.slice(line, start, before + i - start + 1)
-        return F.aggregate(frame, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+        return F.aggregate(
+            F.slice(line, start, before + i - start + 1), F.lit(0).cast("bigint"), lambda acc, x: acc + x
+        )
 
-    crossing = F.when(
-        F.size("_head") > 0, F.array_max(F.transform(F.sequence(F.lit(1), F.size("_head")), frame_sum))
-    )
-    return lined.groupBy(*keys).agg(F.max(F.greatest("_inner", crossing)).alias(name))
+    crossing = F.array_max(F.transform(F.sequence(F.lit(1), F.size("_head")), frame_sum))
+    best = F.when(before == 0, F.col("_alone")).otherwise(F.greatest("_inner", crossing))
+    return lined.groupBy(*keys).agg(F.max(best).alias(name))
 
 
 def rolling_wins_max(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], won: str, n: int = 90,
-    name: str = "most_wins_in_stretch",
+    name: str = "most_wins_in_stretch", hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Most wins in any ``n`` consecutive games over all keys, as one row.
 
@@ -112,5 +156,5 @@ def rolling_wins_max(
     any of them says so.
     """
     games = df.groupBy(*keys, *order).agg(F.max(won).alias(won))
-    per_key = rolling_sum_max(games, keys, order, F.col(won), n, name)
+    per_key = rolling_sum_max(games, keys, order, F.col(won), n, name, hot_rows)
     return per_key.agg(F.max(name).alias(name))

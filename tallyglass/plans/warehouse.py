@@ -35,13 +35,11 @@ from tallyglass.operators.windows import longest_streak, rolling_wins_max
 from tallyglass.sources.schemas import GRADES, TABLES, schema
 
 # Class bounds of players (points) and actors (average rating),
-# the game counts and points of the two window questions, the hosts compared.
+# and the game counts and points of the two window questions.
 PLAYER_BOUNDS = ((20, "star"), (15, "good"), (10, "average"))
 ACTOR_BOUNDS = ((8, "star"), (7, "good"), (6, "average"))
 STRETCH_GAMES = 90
 STREAK_POINTS = 10
-SESSION_HOSTS = ("zachwilson.techcreator.io", "zachwilson.tech", "lulu.techcreator.io")
-SESSION_SUFFIX = ".techcreator.io"
 CUBE_LABELS = {"player_name": "All Players", "team": "All Teams", "season": "All Seasons"}
 
 _PLAYER_STATIC = ["height", "college", "country", "draft_year", "draft_round", "draft_number"]
@@ -325,11 +323,11 @@ def top_map_for_medal(
     return top_filtered_sum(rows, F.col("medal_name") == medal, "mapid", "count", "medal_count")
 
 
-def average_session(sessions: DataFrame, suffix: str = SESSION_SUFFIX) -> DataFrame:
+def average_session(sessions: DataFrame, suffix: str) -> DataFrame:
     return session_avg(sessions, "host", suffix)
 
 
-def compare_hosts(sessions: DataFrame, hosts: Sequence[str] = SESSION_HOSTS) -> DataFrame:
+def compare_hosts(sessions: DataFrame, hosts: Sequence[str]) -> DataFrame:
     return session_compare(sessions, "host", hosts)
 
 

@@ -196,10 +196,10 @@ def test_matches(spark):
 
 
 def test_session_reports(spark):
-    rows = [(datetime(2024, 1, 1), "1.1.1.1", "zachwilson.techcreator.io", 2)]
+    rows = [(datetime(2024, 1, 1), "1.1.1.1", "blog.example.io", 2)]
     sessions = table(spark, "sessionized_aggregated_events", rows)
-    assert wh.average_session(sessions).collect()[0][0] == 2.0
-    assert [tuple(r) for r in wh.compare_hosts(sessions).collect()] == [("zachwilson.techcreator.io", 2.0, 1, 2)]
+    assert wh.average_session(sessions, ".example.io").collect()[0][0] == 2.0
+    assert [tuple(r) for r in wh.compare_hosts(sessions, ["blog.example.io", "absent.io"]).collect()] == [("blog.example.io", 2.0, 1, 2)]
 
 
 def test_all_schemas_parse():

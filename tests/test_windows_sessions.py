@@ -19,6 +19,7 @@ def games(spark):
     rows += [("long", i, i, i != 100) for i in range(700)]
     rows += [("none", i, i, False) for i in range(40)]
     rows += [("end", i, i, i >= 35) for i in range(50)]
+    rows += [(None, i, i, rng.random() < 0.8) for i in range(300)]
     rows += [(f"k{j}", i, i, rng.random() < 0.6) for j in range(60) for i in range(rng.randint(1, 12))]
     rng.shuffle(rows)
     return rows
@@ -31,13 +32,13 @@ def games_df(spark, games):
 
 def by_key(rows):
     groups = {}
-    for team, day, game, won in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+    for team, day, game, won in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
         groups.setdefault(team, []).append(bool(won))
     return groups
 
 
-@pytest.mark.parametrize("partitions", [1, 4, 37])
-def test_longest_streak_equals_brute_force(spark, games, games_df, partitions):
+@pytest.mark.parametrize("partitions,hot_rows", [(4, 10**6), (4, 100), (37, 0), (1, 0)])
+def test_longest_streak_equals_brute_force(spark, games, games_df, partitions, hot_rows):
     expected = []
     for team, wins in by_key(games).items():
         best = run = 0
@@ -49,15 +50,17 @@ def test_longest_streak_equals_brute_force(spark, games, games_df, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = rows_of(longest_streak(games_df, ["team"], ["day", "game"], F.col("won")))
+        got = rows_of(longest_streak(games_df, ["team"], ["day", "game"], F.col("won"), hot_rows=hot_rows))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert got == sorted(expected, key=lambda r: [(v is not None, str(v)) for v in r])
 
 
-@pytest.mark.parametrize("partitions,n", [(1, 5), (4, 90), (37, 90), (37, 1), (90, 400)])
-def test_rolling_sum_equals_brute_force(spark, games, games_df, partitions, n):
+@pytest.mark.parametrize(
+    "partitions,n,hot_rows", [(4, 90, 10**6), (1, 5, 0), (4, 90, 100), (37, 90, 0), (37, 1, 0), (90, 400, 0)]
+)
+def test_rolling_sum_equals_brute_force(spark, games, games_df, partitions, n, hot_rows):
     expected = {}
     for team, wins in by_key(games).items():
         values = [2 * w - 1 for w in wins]  # negative values too
@@ -67,7 +70,7 @@ def test_rolling_sum_equals_brute_force(spark, games, games_df, partitions, n):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         value = F.when(F.col("won"), 1).otherwise(-1)
-        got = rolling_sum_max(games_df, ["team"], ["day", "game"], value, n, "best").collect()
+        got = rolling_sum_max(games_df, ["team"], ["day", "game"], value, n, "best", hot_rows).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

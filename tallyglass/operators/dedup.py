@@ -56,3 +56,23 @@ def device_event_join(
     seen = unique_events.select(device_key).distinct()
     silent = unique_devices.join(seen, device_key, "left_anti")
     return matched.unionByName(silent, allowMissingColumns=True)
+
+
+def device_days(
+    devices: DataFrame,
+    events: DataFrame,
+    keys: Sequence[str] = ("user_id", "device_id", "browser_type"),
+    device_key: str = "device_id",
+    user_key: str = "user_id",
+    ts: str = "event_time",
+    name: str = "active_date",
+) -> DataFrame:
+    """Distinct (user, device, browser, day) of known users.
+
+    The same rows as :func:`device_event_join` by day, but events become one
+    row per user, device and day before they meet the devices.
+    """
+    of_event = [k for k in keys if k in events.columns]
+    of_device = [device_key, *[k for k in keys if k not in of_event]]
+    days = events.filter(F.col(user_key).isNotNull()).select(*of_event, F.to_date(ts).alias(name)).distinct()
+    return distinct_on(devices, of_device).join(days, device_key).select(*keys, name)

@@ -116,14 +116,16 @@ def layout_sizes(
 ) -> DataFrame:
     """Write ``df`` once per layout and report files, bytes and rows.
 
-    A layout is (partition columns, sort columns): rows are sent to files by
-    the first and sorted inside a file by the second.
+    A layout is (cluster columns, sort columns): rows are sent to files by
+    ranges of the first, ties by the second, so a frequent value fills several
+    files, and sorted inside a file by the second.
     """
     spark = df.sparkSession
     result = None
     for name, (spread, sort) in layouts.items():
         path = fresh_path(spark, f"layout-{name}")
-        placed = df.repartition(n_files, *spread) if spread else df.repartition(n_files)
+        ranges = [*spread, *[c for c in sort if c not in spread]]
+        placed = df.repartitionByRange(n_files, *ranges) if ranges else df.repartition(n_files)
         (placed.sortWithinPartitions(*sort) if sort else placed).write.parquet(path)
         # One row per file before the sum, however many rows the file holds.
         files = (

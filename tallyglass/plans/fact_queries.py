@@ -11,7 +11,7 @@ from tallyglass.operators.datelist import (
     datelist_int_from_events,
     host_datelist_step,
 )
-from tallyglass.operators.dedup import dedup_keep_one, device_event_join, distinct_on
+from tallyglass.operators.dedup import dedup_keep_one, device_days, device_event_join, distinct_on
 from tallyglass.operators.monthly import (
     daily_measures,
     monthly_array_backfill,
@@ -117,12 +117,12 @@ user_days AS (
   WHERE w.user_id IS NOT NULL AND w.day <= DATE '2024-01-30')"""
 
 
-def device_events(t: Tables):
-    return device_event_join(t.devices(), t.web_events())
+def user_days(t: Tables):
+    return device_days(t.devices(), t.web_events(), USER_KEYS)
 
 
 def user_datelists(t: Tables, at: str, dates: str = "device_activity_datelist"):
-    return datelist_backfill(device_events(t), USER_KEYS, event_day(), at, dates, newest_first=True)
+    return datelist_backfill(user_days(t), USER_KEYS, F.col("active_date"), at, dates, newest_first=True)
 
 
 @query(
@@ -133,8 +133,7 @@ def user_datelists(t: Tables, at: str, dates: str = "device_activity_datelist"):
     FROM user_days GROUP BY user_id, device_id, browser_type""",
 )
 def q_activity_step(t: Tables):
-    today = device_events(t).select(*USER_KEYS, event_day().alias("active_date"))
-    snapshot = activity_datelist_step(user_datelists(t, YESTERDAY), today, USER_KEYS, TODAY)
+    snapshot = activity_datelist_step(user_datelists(t, YESTERDAY), user_days(t), USER_KEYS, TODAY)
     return as_text(snapshot, "device_activity_datelist")
 
 

@@ -25,7 +25,7 @@ from tallyglass.operators.cumulative import (
     history_unnest,
 )
 from tallyglass.operators.datelist import activity_datelist_step, datelist_int, host_datelist_step
-from tallyglass.operators.dedup import dedup_keep_one, device_event_join, distinct_on
+from tallyglass.operators.dedup import dedup_keep_one, device_days, distinct_on
 from tallyglass.operators.edges import build_edges
 from tallyglass.operators.monthly import daily_measures, monthly_array_rollup, monthly_array_step
 from tallyglass.operators.scd import scd2_backfill, scd2_step
@@ -173,7 +173,7 @@ def user_devices_step(cumulated: DataFrame, devices: DataFrame, events: DataFram
     """``user_devices_cumulated`` rows of ``day``."""
     keys = ["user_id", "device_id", "browser_type"]
     todays = events.filter(F.to_date("event_time") == F.lit(day).cast("date"))
-    active = device_event_join(devices, todays).select(*keys, F.to_date("event_time").alias("active_date"))
+    active = device_days(devices, todays, keys)
     return _shaped(activity_datelist_step(cumulated, active, keys, day), "user_devices_cumulated")
 
 

@@ -12,6 +12,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed join even if the aggregate after it then needs a shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Snapshot tables are partitioned by period; a write replaces only the
     # partitions it carries rows for.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",

@@ -134,6 +134,8 @@ def write_bucketed(
     """Write ``df`` as a bucketed, sorted table in the shared folder and return its scan.
 
     Rows are sent to their bucket's task first, so each bucket is one file.
+    The catalog entry goes once the scan is resolved; the files stay in the
+    shared folder for the scan.
     """
     table = f"{name}_{uuid.uuid4().hex[:12]}"
     (
@@ -145,7 +147,10 @@ def write_bucketed(
         .sortBy(*(sort_by or keys))
         .saveAsTable(table)
     )
-    return spark.table(table)
+    stored = spark.table(table)
+    stored.columns  # noqa: B018 - resolves the table before its entry goes
+    drop_table(spark, table)
+    return stored
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -86,15 +86,18 @@ def write_jdbc_stream(
     checkpoint: str,
     properties: Mapping[str, str],
     every: str = "10 seconds",
+    batch_column: str | None = None,
 ) -> StreamingQuery:
-    """Start appending micro-batches to a database table.
+    """Start appending micro-batches to a database table, at least once.
 
-    ``batch_id`` is written with the rows: a batch that is tried again after a
-    failure appends twice, and readers keep one copy by (batch_id, key).
+    A batch that is tried again after a failure appends its rows again.  With
+    ``batch_column`` the batch number is written too, and readers can keep one
+    copy by number and key.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.jdbc(url, table, mode="append", properties=dict(properties))
+        numbered = batch if batch_column is None else batch.withColumn(batch_column, F.lit(batch_id))
+        numbered.write.jdbc(url, table, mode="append", properties=dict(properties))
 
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     return writer.trigger(processingTime=every).foreachBatch(append).start()

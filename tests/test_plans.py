@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import pytest
 
 import __spark_entry__ as entry_points
+from tallyglass.operators.dedup import device_event_join
 from tallyglass.operators.monthly import daily_measures
 from tallyglass.operators.sessions import sessionize_batch
 from tallyglass.plans import warehouse as wh
@@ -81,3 +82,33 @@ def test_session_hits_are_combined_before_the_shuffle(spark, sf_dir):
     plan = plan_of(sessionize_batch(spark.read.parquet(f"{sf_dir}/events.parquet"), ["user_id"], "ts", 300))
     below = plan[plan.rindex("Exchange hashpartitioning"):]
     assert "partial_count" in below
+
+
+def test_a_hot_device_is_split_over_tasks(spark):
+    """A third of the events on one device, joins by shuffle: adaptive execution splits that partition."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        devices = spark.range(300).selectExpr("id AS device_id", "concat('b', id % 5) AS browser_type", "'os' AS os_type")
+        events = spark.range(0, 120_000, 1, 8).selectExpr(
+            "id AS user_id", "if(id % 3 = 0, 7L, id % 300) AS device_id", "'h' AS host", "timestamp_seconds(id) AS event_time"
+        )
+        per_browser = device_event_join(devices, events).groupBy("device_id", "browser_type").agg(
+            F.count(F.lit(1)).alias("count"), F.sum(F.xxhash64("user_id") % 1000).alias("mixed")
+        )
+        counts = {r.device_id: r["count"] for r in per_browser.collect()}
+        plan = plan_of(per_browser)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert sum(counts.values()) == 120_000 and counts[7] > 40_000
+    assert "SortMergeJoin(skew=true)" in plan

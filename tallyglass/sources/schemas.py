@@ -63,7 +63,11 @@ TABLES = {
     "hosts_activity_reduced": "host string, month_start date, hit_array array<float>, unique_visitors array<float>",
     "player_state": "player_name string, height string, college string, country string, current_season int, "
     "player_status string",
-    "game_aggregates": "player_name string, team string, season string, total_points int, total_wins int",
+    "game_aggregates": "player_name string, team string, season string, total_points bigint, total_wins bigint, "
+    "games_won bigint",
+    "game_details_edge": "subject_identifier bigint, subject_type string, object_identifier bigint, "
+    "object_type string, edge_type string, properties map<string,string>",
+    "deduped_events": "user_id bigint, device_id bigint, host string, event_time timestamp",
     "sessionized_aggregated_events": "event_hour timestamp, ip string, host string, num_hits bigint",
 }
 

@@ -22,13 +22,16 @@ def hot_keys(
     keys: Sequence[str],
     threshold: int = HOT_ROWS,
     extra: Sequence[Column] = (),
+    rows: Column | None = None,
 ) -> DataFrame:
     """Keys with more than ``threshold`` rows: ``keys``, ``salts``, ``extra``.
 
     ``salts`` is the number of parts that brings each one near the threshold.
     The count is combined on the map side, so a hot key does not slow it.
+    ``rows`` replaces the count of rows, e.g. by one that uses a column which
+    the other readers of ``df`` use, so that all share one exchange.
     """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *extra)
+    counted = df.groupBy(*keys).agg((F.count(F.lit(1)) if rows is None else rows).alias("_rows"), *extra)
     return (
         counted.filter(F.col("_rows") > threshold)
         .withColumn("salts", F.ceil(F.col("_rows") / F.lit(threshold)).cast("int"))

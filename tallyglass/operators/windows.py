@@ -98,7 +98,9 @@ def rolling_sum_max(
     if n < 1:
         raise ValueError("n must be at least 1")
     rows = df.select(*keys, *order, value.cast("bigint").alias("_v"))
-    cold, hot = split_hot(rows, hot_keys(rows, keys, hot_rows), keys)
+    # Counted through the value: if ``df`` is an aggregate, it runs once for all branches.
+    counted = F.count("_v") + F.count_if(F.col("_v").isNull())
+    cold, hot = split_hot(rows, hot_keys(rows, keys, hot_rows, rows=counted), keys)
     frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - n, 0)
     of_cold = cold.withColumn("_sum", F.sum("_v").over(frame)).groupBy(*keys).agg(F.max("_sum").alias(name))
     return of_cold.unionByName(_rolling_sum_max_chunked(hot, keys, order, n, name))

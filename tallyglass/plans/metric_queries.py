@@ -255,6 +255,10 @@ def q_zone(t: Tables):
 
 @query("layout_sizes")
 def q_layouts(t: Tables):
-    layouts = {"as_read": ([], []), "by_order": (["l_orderkey"], ["l_orderkey"]), "by_part": (["l_partkey"], ["l_partkey", "l_suppkey"])}
+    layouts = {
+        "as_read": ([], []),
+        "by_order": (["l_orderkey"], ["l_orderkey"]),
+        "by_part": (["l_partkey"], ["l_partkey", "l_suppkey"]),
+    }
     columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity"]
     return layout_sizes(t.lineitem.select(*columns), layouts, 16)

@@ -76,7 +76,14 @@ def q_upsert(t: Tables):
     return t.spark.read.schema("c_custkey bigint, c_acctbal double, c_mktsegment string").parquet(path)
 
 
-@query("view_over_frame", "SELECT n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
+@query(
+    "view_over_frame",
+    """SELECT c_mktsegment, count(*) AS order_count FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment""",
+)
 def q_view(t: Tables):
-    nations, regions = as_view(t.nation, "nation_rows"), as_view(t.region, "region_rows")
-    return nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+    as_view(t.orders, "order_rows")
+    as_view(t.customer, "customer_rows")
+    return t.spark.sql(
+        """SELECT c_mktsegment, count(*) AS order_count FROM order_rows
+        JOIN customer_rows ON c_custkey = o_custkey GROUP BY c_mktsegment"""
+    )

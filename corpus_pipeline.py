@@ -4,10 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyglass.llm import mixing, packing
+from tallyglass.llm import classifier, jaccard, mixing, packing, secrets
 from tallyglass.llm.common import find_package, stored
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones among them, does not reject."""
+    find_package(spark)
+    return classifier.keep_good(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id."""
+    find_package(spark)
+    return jaccard.keep_one(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts replaced by a mark."""
+    find_package(spark)
+    return secrets.redact(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights: documents repeated or cut by the blocks the mix takes."""
     find_package(spark)
@@ -21,6 +39,9 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("quality_classifier", quality),
+    ("ngram_jaccard_join", one_of_each),
+    ("secret_scan", redact_secrets),
     ("mix_sources", mix_sources),
     ("pack_windows", pack_windows),
 ]

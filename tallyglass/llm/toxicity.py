@@ -26,7 +26,7 @@ BINS = 1 << 20
 FIT_ROWS = 20_000
 #: Terms the machine knows at most, those that stand out most from the labels.
 TERMS = 4096
-LEAST_DOCS, LEAST_Z = 4, 6.0
+LEAST_DOCS, LEAST_Z = 4, 5.0
 FACTORS = 6
 EPOCHS, BATCH, RATE, DECAY = 40, 256, 0.08, 2e-4
 SEED = 20240502

@@ -73,12 +73,16 @@ class Rising:
         wanted = x & np.uint64((1 << self.width) - 1)
         found = np.full(len(x), -1, "i8")
         left = np.flatnonzero((at < end) & (x >> np.uint64(self.width) == high.astype("u8")))
+        # halving, as a frequent context has many values with the same high part
         while len(left):
-            value = self.low_of(at[left])
+            middle = (at[left] + end[left]) // 2
+            value = self.low_of(middle)
             hit = value == wanted[left]
-            found[left[hit]] = at[left[hit]]
-            left = left[(value < wanted[left])]
-            at[left] += 1
+            found[left[hit]] = middle[hit]
+            above = value < wanted[left]
+            at[left[above]] = middle[above] + 1
+            end[left[~above]] = middle[~above]
+            left = left[~hit]
             left = left[at[left] < end[left]]
         return found
 

@@ -15,6 +15,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from tallyglass.llm.common import DOCS_PER_CALL, id_and_text, stored
 
 WINDOW = 1024
 END_ID = 0
-#: Word pieces a worker remembers; beyond that it starts anew.
-CACHED_PIECES = 700_000
+#: Word pieces a worker remembers in each of two generations.
+CACHED_PIECES = 600_000
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -54,16 +55,20 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers."""
         plain = [_PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
         split = [_SPLIT.findall(t) if p else () for t, p in zip(texts, plain, strict=True)]
-        known = self.known
-        new = list({piece for pieces in split for piece in pieces if piece not in known})
-        if len(known) + len(new) > CACHED_PIECES:
-            known.clear()
-            new = list({piece for pieces in split for piece in pieces})
+        wanted = set(chain.from_iterable(split))
+        if len(self.known) + len(wanted) > CACHED_PIECES:
+            # two generations: what is still in use comes back from the older one
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = wanted.difference(known)
+        known.update((piece, older[piece]) for piece in missing.intersection(older))
+        new = list(missing.difference(older))
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             # the fast form leaves out offsets, which nobody reads here

@@ -41,12 +41,12 @@ def terms_of(text: str) -> bytes:
 
 
 def term_table(docs: DataFrame) -> DataFrame:
-    """Stored (doc_id, terms)."""
+    """(doc_id, terms) of every document."""
 
     def each(ids: list, texts: list) -> dict[str, list]:
         return {"doc_id": ids, "terms": [terms_of(t) for t in texts]}
 
-    return stored(map_texts(id_and_text(docs), each, "doc_id bigint, terms binary"), "terms")
+    return map_texts(id_and_text(docs), each, "doc_id bigint, terms binary")
 
 
 def _counts(rows: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def train(sets: list[np.ndarray], labels: np.ndarray, n_terms: int, seed: int =
     return bias, weights, vectors
 
 
-def fit(table: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] = HELD_OUT) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] = HELD_OUT) -> Machine:
     """A machine from the labelled rows whose id's remainder is not the held-out one.
 
     Terms are chosen by counts over all of them; weights come from at most ``FIT_ROWS``.  Without a labelled row every
@@ -147,7 +147,8 @@ def fit(table: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tup
     marked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     marked = marked.filter(id_remainder(F.col("doc_id"), modulus) != remainder)
     marked = marked.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label).cast("bigint").alias("label"))
-    rows = stored(table.join(marked, "doc_id"), "marked-terms")
+    # merged at every size: the labels grow with the documents, so their copy on each executor would too
+    rows = stored(term_table(docs).join(marked.hint("merge"), "doc_id"), "marked-terms")
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positive")).first()
     share = (total["positive"] or 0) / max(1, total["n"])
     expected = F.col("n") * share
@@ -174,14 +175,12 @@ def fit(table: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tup
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = HELD_OUT, cutoff: float = CUTOFF) -> DataFrame:
     """One row per document: (doc_id, held_out, score, predicted).  A text without words has the bias as its score."""
-    table = term_table(docs)
-    machine = fit(table, labels, held_out=held_out)
+    machine = fit(docs, labels, held_out=held_out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine(batch.column(1).to_pylist()))], names=["doc_id", "score"])
+    def each(ids: list, texts: list) -> dict[str, list]:
+        return {"doc_id": ids, "score": machine([terms_of(t) for t in texts]).tolist()}
 
-    scored = table.mapInArrow(run, "doc_id bigint, score double")
+    scored = map_texts(id_and_text(docs), each, "doc_id bigint, score double")
     return scored.select(
         "doc_id",
         (id_remainder(F.col("doc_id"), held_out[0]) == held_out[1]).alias("held_out"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions.columns import guarded_ratio, last_element
-from tallyglass.functions.skew import HOT_ROWS, hot_keys, with_salt
+from tallyglass.functions.joins import full_join
 
 
 def _entry(period: str, stats: Sequence[str]) -> Column:
@@ -24,11 +24,13 @@ def cumulative_step(
     grade: Column,
     static: Sequence[str] = (),
     history: str = "history",
+    bucketed: bool = False,
 ) -> DataFrame:
     """Next snapshot from the previous one and the new period's rows.
 
     ``prev`` and ``today`` hold at most one row per key.  ``grade`` is the
     class expression over ``today``; absent entities carry theirs.
+    ``bucketed`` says that ``prev`` is stored bucketed by the keys.
     """
     t = today.select(
         *keys,
@@ -46,7 +48,7 @@ def cumulative_step(
         F.col(period).alias("_before"),
     )
     here = F.col("_now").isNotNull()
-    return t.join(y, list(keys), "full").select(
+    return full_join(t, y, keys, bucketed).select(
         *keys,
         *[F.coalesce(f"_t_{c}", f"_y_{c}").alias(c) for c in static],
         F.when(F.col("_kept").isNull(), F.col("_added"))
@@ -74,10 +76,11 @@ def cumulative_backfill(
 ) -> DataFrame:
     """All snapshots ``first..last`` at once, dense from each entity's debut.
 
-    ``facts`` holds one row per key and period (a repeated one fails the job),
-    so the array collected per key is bounded by the number of periods.  One
-    shuffle on the keys: each entry covers the periods up to the next entry,
-    and its history is a prefix of the sorted entries.  ``static_rule`` is
+    ``facts`` holds one row per key and period; a repeated one fails the job
+    before anything is collected, so the array collected per key is bounded by
+    the number of periods.  Rows are shuffled by key, where each entry covers
+    the periods up to the next one and its history is a prefix of the sorted
+    entries.  ``static_rule`` is
     ``latest`` (last non-NULL value so far, as the step gives) or ``max``.
     """
     if static_rule not in ("latest", "max"):
@@ -88,12 +91,17 @@ def cumulative_backfill(
         grade.alias("grade"),
         F.struct(F.lit(True).alias("_"), *[F.col(c) for c in static]).alias("fixed"),
     )
+    # Dealt by key once, for both aggregates; a key repeated without end is refused without being gathered.
+    per_period = facts.filter(F.col(period).between(first, last)).repartition(*[F.col(k) for k in keys]).groupBy(*keys, F.col(period).alias("_at")).agg(
+        F.min(entry).alias("_one"), F.count(F.lit(1)).alias("_n")
+    )
+    one = F.when(F.col("_n") > 1, F.raise_error(F.lit(f"more than one row per key and {period}")).cast("boolean"))
     per_key = (
-        facts.filter(F.col(period).between(first, last))
+        per_period.withColumn("_one", F.when(one.isNull(), F.col("_one")))
         .groupBy(*keys)
         .agg(
-            F.array_sort(F.collect_list(entry)).alias("_entries"),
-            *[F.max(c).alias(f"_max_{c}") for c in static if static_rule == "max"],
+            F.array_sort(F.collect_list("_one")).alias("_entries"),
+            *[F.max(f"_one.fixed.{c}").alias(f"_max_{c}") for c in static if static_rule == "max"],
         )
     )
     placed = per_key.select(
@@ -104,8 +112,7 @@ def cumulative_backfill(
     )
     at = F.col("_entry.at")
     following = F.get("_entries", F.col("_pos") + 1)["at"]
-    until = F.when(following == at, F.raise_error(F.lit(f"more than one row per key and {period}")).cast("int")) \
-        .otherwise(F.coalesce(following - 1, F.lit(last)))
+    until = F.coalesce(following - 1, F.lit(last))
     so_far = F.col("_pos") + 1
 
     def latest(column: str) -> Column:
@@ -134,93 +141,42 @@ def cumulative_backfill(
     )
 
 
+def _period_scores(rows: DataFrame, keys: Sequence[str], period: str, average: Column, label: Sequence[str]) -> DataFrame:
+    """Per key and period the average and the largest label values; combined on the map side, however many rows a key has."""
+    scored = rows.select(*keys, F.col(period).alias("_at"), *label, average.cast("double").alias("_score"))
+    return scored.groupBy(*keys, "_at").agg(F.avg("_score").alias("_score"), *[F.max(c).alias(c) for c in label])
+
+
 def cumulative_step_multi(
     prev: DataFrame,
     today_rows: DataFrame,
     keys: Sequence[str],
     period: str,
     at: int,
-    item: Sequence[str],
-    item_id: Sequence[str],
     average: Column,
     grade,
     label: Sequence[str] = (),
-    items: str = "items",
-    rows_per_segment: int = HOT_ROWS,
+    bucketed: bool = False,
 ) -> DataFrame:
-    """Next snapshot when an entity has several rows per period.
+    """Next state when an entity has several rows per period: one row per entity.
 
-    The period's rows become an array of ``item`` structs in struct order, and
-    ``grade`` is called with the period's average of ``average``.  An entity
-    with more than ``rows_per_segment`` rows in one period gets its array in
-    several rows: segment 0 continues the entity's row and the others, numbered
-    by period, are added as rows of their own, so no task or row has to hold an
-    unbounded array.  Ordinary entities have segment 0 only.
+    ``grade`` is called with the period's average of ``average``; an absent
+    entity keeps its class.  ``label`` columns take the period's largest value,
+    or stay when it has none.  The rows themselves go to
+    :func:`items_by_period`, so a state row never grows.
     """
-    rows = today_rows.filter(F.col(period) == at).select(
-        *keys,
-        *label,
-        F.struct(*[F.col(c) for c in item]).alias("_item"),
-        average.cast("double").alias("_score"),
-        *[F.col(c).alias(f"_id_{i}") for i, c in enumerate(item_id)],
+    t = _period_scores(today_rows.filter(F.col(period) == at), keys, period, average, label).withColumnsRenamed(
+        {c: f"_t_{c}" for c in label}
     )
-    ids = [f"_id_{i}" for i in range(len(item_id))]
-    hot = hot_keys(
-        rows, keys, rows_per_segment,
-        extra=[F.avg("_score").alias("_hot_score"), *[F.max(c).alias(f"_hot_{c}") for c in label]],
-    )
-    salted = with_salt(rows, hot.drop(*[f"_hot_{c}" for c in label]), keys, ids, name="_part")
-    # A hot key always has a part 0, even if no row hashes to it.
-    anchors = hot.select(
-        *keys,
-        *[F.col(f"_hot_{c}").alias(c) for c in label],
-        "_hot_score",
-        F.lit(0).alias("_part"),
-    )
-    salted = salted.unionByName(anchors, allowMissingColumns=True)
-    parts = salted.groupBy(*keys, "_part").agg(
-        F.array_sort(F.collect_list("_item")).alias("_added"),
-        F.avg("_score").alias("_part_score"),
-        F.max("_hot_score").alias("_hot_score"),
-        *[F.max(c).alias(f"_t_{c}") for c in label],
-    ).withColumn("_score", F.coalesce("_hot_score", "_part_score"))
-
-    main = parts.filter(F.col("_part") == 0).drop("_part", "_part_score", "_hot_score")
-    y = prev.select(
+    y = prev.select(*keys, *[F.col(c).alias(f"_y_{c}") for c in label], F.col("grade").alias("_old_grade"))
+    here = F.col("_at").isNotNull()
+    return full_join(t, y, keys, bucketed).select(
         *keys,
-        "segment",
-        *[F.col(c).alias(f"_y_{c}") for c in label],
-        F.col(items).alias("_kept"),
-        F.col("grade").alias("_old_grade"),
-    )
-    here = F.col("_added").isNotNull()
-    grown = main.join(y, list(keys), "full").select(
-        *keys,
-        F.coalesce("segment", F.lit(0).cast("bigint")).alias("segment"),
         *[F.coalesce(f"_t_{c}", f"_y_{c}").alias(c) for c in label],
-        F.when(F.col("_kept").isNull(), F.col("_added"))
-        .when(here & (F.col("segment") == 0), F.concat("_kept", "_added"))
-        .otherwise(F.col("_kept"))
-        .alias(items),
         F.when(here, grade(F.col("_score"))).otherwise(F.col("_old_grade")).alias("grade"),
         here.alias("is_active"),
         F.lit(at).alias(period),
     )
-    overflow = parts.filter(F.col("_part") > 0).select(
-        *keys,
-        segment_number(F.lit(at), F.col("_part")).alias("segment"),
-        *[F.col(f"_t_{c}").alias(c) for c in label],
-        F.col("_added").alias(items),
-        grade(F.col("_score")).alias("grade"),
-        F.lit(True).alias("is_active"),
-        F.lit(at).alias(period),
-    )
-    return grown.unionByName(overflow)
-
-
-def segment_number(period: Column, part: Column) -> Column:
-    """Number of an overflow segment: the period in the high half, the part in the low."""
-    return period.cast("bigint") * F.lit(1 << 32) + part
 
 
 def cumulative_bootstrap_multi(
@@ -228,57 +184,53 @@ def cumulative_bootstrap_multi(
     keys: Sequence[str],
     period: str,
     at: int,
-    item: Sequence[str],
-    item_id: Sequence[str],
     average: Column,
     grade,
     label: Sequence[str] = (),
-    items: str = "items",
-    rows_per_segment: int = HOT_ROWS,
 ) -> DataFrame:
-    """The snapshot for period ``at`` that folding the step from the start gives.
-
-    Segments are cut per entity and period as in the step; segment 0 of all
-    periods is one array.
-    """
-    kept = rows.filter(F.col(period) <= at).select(
-        *keys,
-        F.col(period).alias("_at"),
-        *[F.col(c).alias(f"_l_{c}") for c in label],
-        F.struct(*[F.col(c) for c in item]).alias("_item"),
-        average.cast("double").alias("_score"),
-        *[F.col(c).alias(f"_id_{i}") for i, c in enumerate(item_id)],
-    )
-    ids = [f"_id_{i}" for i in range(len(item_id))]
-    per_period = kept.groupBy(*keys, "_at").agg(
-        F.avg("_score").alias("_score"), *[F.max(f"_l_{c}").alias(f"_l_{c}") for c in label]
-    )
+    """The state for period ``at`` that folding the step from the start gives."""
+    per_period = _period_scores(rows.filter(F.col(period) <= at), keys, period, average, label)
     state = per_period.groupBy(*keys).agg(
         F.max("_at").alias("_last"),
         F.max_by("_score", "_at").alias("_score"),
-        *[F.max_by(f"_l_{c}", F.when(F.col(f"_l_{c}").isNotNull(), F.col("_at"))).alias(c) for c in label],
-    )
-    hot = hot_keys(kept, [*keys, "_at"], rows_per_segment)
-    salted = with_salt(kept, hot, [*keys, "_at"], ids, name="_part")
-    segment = F.when(F.col("_part") == 0, F.lit(0).cast("bigint")).otherwise(
-        segment_number(F.col("_at"), F.col("_part"))
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in label],
     )
-    arrays = (
-        salted.withColumn("segment", segment)
-        .groupBy(*keys, "segment")
-        .agg(F.array_sort(F.collect_list(F.struct("_at", "_item"))).alias("_all"))
-    )
-    return arrays.join(state, list(keys)).select(
-        *keys,
-        "segment",
-        *label,
-        F.col("_all")["_item"].alias(items),
-        grade(F.col("_score")).alias("grade"),
-        (F.col("_last") == at).alias("is_active"),
-        F.lit(at).alias(period),
+    return state.select(
+        *keys, *label, grade(F.col("_score")).alias("grade"), (F.col("_last") == at).alias("is_active"), F.lit(at).alias(period)
     )
 
 
+def items_by_period(
+    rows: DataFrame,
+    keys: Sequence[str],
+    period: str,
+    item: Sequence[str],
+    item_id: Sequence[str],
+    parts: int = 1,
+    items: str = "items",
+) -> DataFrame:
+    """Arrays of ``item`` structs per entity and period, in ``parts`` arrays by a hash of the item's id.
+
+    A period's rows are written once and never change.  ``parts`` is the
+    caller's choice, and the same for every entity and any amount of data: the
+    most a row holds is an entity's rows of one period over ``parts``.
+    """
+    part = F.pmod(F.xxhash64(*item_id), F.lit(parts).cast("bigint")).cast("int")
+    placed = rows.select(*keys, period, part.alias("part"), F.struct(*item).alias("_item"))
+    return placed.groupBy(*keys, period, "part").agg(F.array_sort(F.collect_list("_item")).alias(items))
+
+
+def with_items(state: DataFrame, stored: DataFrame, keys: Sequence[str], period: str, at: int, items: str = "items") -> DataFrame:
+    """``state`` with each entity's items up to ``at`` in one array, by period and item.
+
+    A view for entities whose items fit in a row; the stored arrays have no such limit.
+    """
+    until = stored.filter(F.col(period) <= at).select(*keys, F.col(period).alias("_at"), F.explode(items).alias("_item"))
+    one = until.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", "_item"))).alias("_all"))
+    joined = full_join(state, one.select(*keys, F.col("_all")["_item"].alias(items)), keys)
+    return joined.filter(F.col(period).isNotNull())
+
+
 def history_unnest(snapshot: DataFrame, keys: Sequence[str], history: str = "history") -> DataFrame:
     """One row per history element, its fields as columns."""
     return snapshot.select(*keys, F.inline(history))

@@ -7,18 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.functions.columns import DAY_MASK, FIELD_BITS, WEEK_MASK, active_bits, day_bit, same_values
+from tallyglass.functions.columns import DAY_MASK, FIELD_BITS, WEEK_MASK, active_bits, day_bit
+from tallyglass.functions.joins import full_join
 
 
-def _list_step(prev: DataFrame, today: DataFrame, keys, active: str, dates: str, at, newest_first: bool) -> DataFrame:
+def _list_step(prev: DataFrame, today: DataFrame, keys, active: str, dates: str, at, newest_first: bool, bucketed: bool) -> DataFrame:
     day = F.lit(at).cast("date")
-    t = today.filter(F.col(active) == day).select(*keys, F.col(active).alias("_day")).distinct().alias("t")
-    y = prev.filter(F.col("date") == F.date_sub(day, 1)).select(*keys, F.col(dates).alias("_dates")).alias("y")
-    matched = same_values([F.col(f"t.{k}") for k in keys], [F.col(f"y.{k}") for k in keys])
-    added, kept = F.col("t._day"), F.col("y._dates")
+    t = today.filter(F.col(active) == day).select(*keys, F.col(active).alias("_added")).distinct()
+    y = prev.filter(F.col("date") == F.date_sub(day, 1)).select(*keys, F.col(dates).alias("_kept"))
+    added, kept = F.col("_added"), F.col("_kept")
     joined = F.array_prepend(kept, added) if newest_first else F.array_append(kept, added)
-    return t.join(y, matched, "full").select(
-        *[F.coalesce(f"t.{k}", f"y.{k}").alias(k) for k in keys],
+    return full_join(t, y, keys, bucketed).select(
+        *keys,
         day.alias("date"),
         F.when(added.isNull(), kept).when(kept.isNull(), F.array(added)).otherwise(joined).alias(dates),
     )
@@ -26,22 +26,22 @@ def _list_step(prev: DataFrame, today: DataFrame, keys, active: str, dates: str,
 
 def activity_datelist_step(
     prev: DataFrame, today: DataFrame, keys: Sequence[str], at, active: str = "active_date",
-    dates: str = "device_activity_datelist",
+    dates: str = "device_activity_datelist", bucketed: bool = False,
 ) -> DataFrame:
     """Date-list snapshot of day ``at``, newest date first.
 
     ``prev`` is read at the day before and ``today`` at the day itself, so
     running a day again gives the same snapshot.  NULL keys match each other.
     """
-    return _list_step(prev, today, keys, active, dates, at, newest_first=True)
+    return _list_step(prev, today, keys, active, dates, at, newest_first=True, bucketed=bucketed)
 
 
 def host_datelist_step(
     prev: DataFrame, today: DataFrame, keys: Sequence[str], at, active: str = "active_date",
-    dates: str = "host_activity_datelist",
+    dates: str = "host_activity_datelist", bucketed: bool = False,
 ) -> DataFrame:
     """Date-list snapshot of day ``at``, oldest date first, without NULL elements."""
-    return _list_step(prev, today, keys, active, dates, at, newest_first=False)
+    return _list_step(prev, today, keys, active, dates, at, newest_first=False, bucketed=bucketed)
 
 
 def datelist_backfill(

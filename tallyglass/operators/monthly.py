@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.functions.columns import same_values, set_position
+from tallyglass.functions.columns import set_position
+from tallyglass.functions.joins import full_join
 
 
 def daily_measures(
@@ -21,7 +22,8 @@ def daily_measures(
 
 
 def monthly_array_step(
-    prev: DataFrame, daily: DataFrame, keys: Sequence[str], at, measures: Mapping[str, str]
+    prev: DataFrame, daily: DataFrame, keys: Sequence[str], at, measures: Mapping[str, str],
+    bucketed: bool = False,
 ) -> DataFrame:
     """The month's rows after day ``at``; ``measures`` maps daily columns to arrays.
 
@@ -31,19 +33,16 @@ def monthly_array_step(
     """
     day = F.lit(at).cast("date")
     month = F.trunc(day, "MM")
-    t = daily.filter(F.col("date") == day).select(*keys, *measures, F.lit(True).alias("_here")).alias("t")
-    y = prev.filter(F.col("month_start") == month).select(*keys, *measures.values()).alias("y")
-    matched = same_values([F.col(f"t.{k}") for k in keys], [F.col(f"y.{k}") for k in keys])
+    t = daily.filter(F.col("date") == day).select(*keys, *[F.col(name).alias(f"_t_{name}") for name in measures])
+    y = prev.filter(F.col("month_start") == month).select(*keys, *[F.col(a).alias(f"_y_{a}") for a in measures.values()])
     zero = F.lit(0).cast("bigint")
     arrays = [
         set_position(
-            F.col(f"y.{array}"), F.dayofmonth(day), F.coalesce(F.col(f"t.{name}").cast("bigint"), zero), zero
+            F.col(f"_y_{array}"), F.dayofmonth(day), F.coalesce(F.col(f"_t_{name}").cast("bigint"), zero), zero
         ).alias(array)
         for name, array in measures.items()
     ]
-    return t.join(y, matched, "full").select(
-        *[F.coalesce(f"t.{k}", f"y.{k}").alias(k) for k in keys], month.alias("month_start"), *arrays
-    )
+    return full_join(t, y, keys, bucketed).select(*keys, month.alias("month_start"), *arrays)
 
 
 def monthly_array_backfill(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyglass.functions.joins import full_join
+
 
 def scd2_backfill(
     snapshots: DataFrame,
@@ -51,6 +53,7 @@ def scd2_step(
     start: str = "start_period",
     end: str = "end_period",
     current: str = "current_period",
+    bucketed: bool = False,
 ) -> DataFrame:
     """SCD snapshot of period ``at`` from the one before and the new period.
 
@@ -82,5 +85,5 @@ def scd2_step(
         .when(F.col("_now").eqNullSafe(F.col("_was")), F.array(extended))
         .otherwise(F.array(kept, opened))
     )
-    moved = was.join(now, list(keys), "full").select(*keys, versions.alias("_v")).select(*keys, F.inline("_v"))
+    moved = full_join(was, now, keys, bucketed).select(*keys, versions.alias("_v")).select(*keys, F.inline("_v"))
     return closed.select(moved.columns).unionByName(moved).withColumn(current, point)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyglass.functions.joins import full_join
+
 # The states a row can have.
 NEW = "New"
 CONTINUED = "Continued Playing"
@@ -23,6 +25,7 @@ def state_track_step(
     period: str,
     static: Sequence[str] = (),
     status: str = "player_status",
+    bucketed: bool = False,
 ) -> DataFrame:
     """State snapshot of the next period from the previous one and today's rows.
 
@@ -45,7 +48,7 @@ def state_track_step(
         .when(known, RETIRED)
         .otherwise(UNKNOWN)
     )
-    return t.join(y, list(keys), "full").select(
+    return full_join(t, y, keys, bucketed).select(
         *keys,
         *[F.coalesce(f"_t_{c}", f"_y_{c}").alias(c) for c in static],
         F.coalesce(F.col("_now"), F.col("_before") + 1).alias(period),

@@ -13,6 +13,8 @@ from tallyglass.operators.cumulative import (
     cumulative_step_multi,
     first_to_last_ratio,
     history_unnest,
+    items_by_period,
+    with_items,
 )
 from tallyglass.operators.scd import scd2_backfill, scd2_step
 from tallyglass.operators.states import state_track_backfill, state_track_step
@@ -121,7 +123,7 @@ state AS (SELECT customer_id, max(year) AS last_year, arg_max(score, year) AS sc
           FROM per_year GROUP BY customer_id),
 arrays AS (SELECT customer_id, string_agg(order_id || ':' || price_cents, ',' ORDER BY year, order_id) AS items
            FROM order_rows WHERE year <= {{at}} GROUP BY customer_id)
-SELECT customer_id, CAST(0 AS BIGINT) AS segment, priority, items,
+SELECT customer_id, priority, items,
        CASE WHEN score > 35000000 THEN 'star' WHEN score > 25000000 THEN 'good'
             WHEN score > 15000000 THEN 'average' ELSE 'bad' END AS grade,
        last_year = {{at}} AS is_active, CAST({{at}} AS INTEGER) AS year
@@ -129,25 +131,41 @@ FROM state JOIN arrays USING (customer_id)"""
 MULTI_ARGS = {
     "keys": KEYS,
     "period": "year",
-    "item": ["order_id", "price_cents"],
-    "item_id": ["order_id"],
     "grade": price_grade,
     "label": ["priority"],
 }
 
 
+def order_items(t: Tables):
+    return items_by_period(t.order_rows(), KEYS, "year", ["order_id", "price_cents"], ["order_id"], parts=4)
+
+
+def with_order_items(t: Tables, state):
+    """The state with the view of all items in one array."""
+    return history_text(with_items(state, order_items(t), KEYS, "year", LAST), "items", ("order_id", "price_cents"))
+
+
 @query("cumulative_step_multi", MULTI.format(at=2001))
 def q_step_multi(t: Tables):
     rows = t.order_rows()
     prev = cumulative_bootstrap_multi(rows, at=LAST - 1, average=F.col("price_cents"), **MULTI_ARGS)
-    snapshot = cumulative_step_multi(prev, rows, at=LAST, average=F.col("price_cents"), **MULTI_ARGS)
-    return history_text(snapshot, "items", ("order_id", "price_cents"))
+    return with_order_items(t, cumulative_step_multi(prev, rows, at=LAST, average=F.col("price_cents"), **MULTI_ARGS))
 
 
 @query("cumulative_bootstrap_multi", MULTI.format(at=2001))
 def q_bootstrap_multi(t: Tables):
-    snapshot = cumulative_bootstrap_multi(t.order_rows(), at=LAST, average=F.col("price_cents"), **MULTI_ARGS)
-    return history_text(snapshot, "items", ("order_id", "price_cents"))
+    return with_order_items(t, cumulative_bootstrap_multi(t.order_rows(), at=LAST, average=F.col("price_cents"), **MULTI_ARGS))
+
+
+@query(
+    "cumulative_items_by_period",
+    f"""WITH {ORDER_ROWS}
+    SELECT customer_id, year, string_agg(order_id || ':' || price_cents, ',' ORDER BY order_id) AS items
+    FROM order_rows GROUP BY customer_id, year""",
+)
+def q_items(t: Tables):
+    items = items_by_period(t.order_rows(), KEYS, "year", ["order_id", "price_cents"], ["order_id"], parts=1)
+    return history_text(items.drop("part"), "items", ("order_id", "price_cents"))
 
 
 @query("history_unnest", f"WITH {SEASONS} SELECT customer_id, year, order_count, spend_cents FROM seasons")

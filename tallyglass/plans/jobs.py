@@ -13,8 +13,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyglass.plans import warehouse as wh
-from tallyglass.sources.schemas import TABLES
-from tallyglass.sources.tables import create_table, overwrite_table
+from tallyglass.session import fresh_path
+from tallyglass.sources.schemas import KEYS, TABLES
+from tallyglass.sources.tables import assert_unique, create_table, overwrite_table, remove_path
 
 # Partition columns of the tables the jobs write.
 PARTITIONS = {
@@ -63,12 +64,23 @@ JOBS: dict[str, tuple[str, Callable[[Read, Any], DataFrame]]] = {
 def create_state_tables(spark: SparkSession, root: str, names: Iterable[str] = tuple(PARTITIONS)) -> None:
     """Create the tables the jobs write, under the folder ``root``."""
     for name in names:
-        extra = ", segment bigint" if name == "actors" else ""
-        create_table(spark, name, TABLES[name] + extra, PARTITIONS[name], f"{root}/{name}")
+        create_table(spark, name, TABLES[name], PARTITIONS[name], f"{root}/{name}")
 
 
 def run_job(spark: SparkSession, job: str, at: Any = None) -> DataFrame:
-    """Run one job for a period or day, and return the table it loads."""
+    """Run one job for a period or day, and return the table it loads.
+
+    The rows are staged once; a table with a key in ``KEYS`` is left as it is if they hold one twice.
+    """
     target, rows = JOBS[job]
-    overwrite_table(rows(spark.table, at), target)
+    staged = fresh_path(spark, job)
+    try:
+        built = rows(spark.table, at)
+        built.write.parquet(staged)
+        ready = spark.read.schema(built.schema).parquet(staged)
+        if target in KEYS:
+            assert_unique(ready, KEYS[target])
+        overwrite_table(ready, target)
+    finally:
+        remove_path(spark, staged)
     return spark.table(target)

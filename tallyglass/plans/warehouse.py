@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions.columns import grade, one_of
+from tallyglass.functions.joins import full_join
 from tallyglass.functions.skew import broadcast_checked
 from tallyglass.operators.bucketed import bucketed_fact_join, most_played, top_avg_per_game, top_filtered_sum
 from tallyglass.operators.cube import cube_top, grouping_sets_cube
@@ -21,6 +22,8 @@ from tallyglass.operators.cumulative import (
     cumulative_bootstrap_multi,
     cumulative_step,
     cumulative_step_multi,
+    items_by_period,
+    with_items,
     first_to_last_ratio,
     history_unnest,
 )
@@ -114,33 +117,41 @@ def _actor_args() -> dict:
     return {
         "keys": ["actorid"],
         "period": "year",
-        "item": _ACTOR_ITEM,
-        "item_id": ["filmid"],
         "average": F.col("rating"),
         "grade": _actor_grade,
         "label": ["actor"],
-        "items": "films",
     }
 
 
+def actor_items(actor_films: DataFrame, parts: int = 1) -> DataFrame:
+    """Film arrays per actor and year, as they are stored: each year once."""
+    return items_by_period(actor_films, ["actorid"], "year", _ACTOR_ITEM, ["filmid"], parts, "films")
+
+
 def _actors_out(rows: DataFrame) -> DataFrame:
     renamed = rows.withColumnsRenamed({"grade": "quality_class", "year": "film_year"})
-    return _shaped(renamed, "actors", "segment")
+    return _shaped(renamed, "actors")
 
 
 def actors_step(actors: DataFrame, actor_films: DataFrame, year: int) -> DataFrame:
-    """``actors`` rows of ``year``; ``segment`` is 0 but for the extra rows of oversize arrays."""
+    """``actors`` rows of ``year``, one per actor; ``films`` is the view of a career's films in one array."""
     prev = actors.filter(F.col("film_year") == year - 1).withColumnsRenamed({"quality_class": "grade", "film_year": "year"})
-    return _actors_out(cumulative_step_multi(prev, actor_films, at=year, **_actor_args()))
+    state = cumulative_step_multi(prev, actor_films, at=year, **_actor_args())
+    added = actor_items(actor_films.filter(F.col("year") == year)).select("actorid", F.col("films").alias("_added"))
+    kept = full_join(added, prev.select("actorid", F.col("films").alias("_kept")), ["actorid"])
+    nothing = F.array().cast(actors.schema["films"].dataType)
+    films = F.concat(*[F.coalesce(c, nothing) for c in ("_kept", "_added")])
+    return _actors_out(full_join(state, kept.select("actorid", films.alias("films")), ["actorid"]))
 
 
 def actors_bootstrap(actor_films: DataFrame, year: int) -> DataFrame:
     """``actors`` rows of ``year`` from all films up to it."""
-    return _actors_out(cumulative_bootstrap_multi(actor_films, at=year, **_actor_args()))
+    state = cumulative_bootstrap_multi(actor_films, at=year, **_actor_args())
+    return _actors_out(with_items(state, actor_items(actor_films), ["actorid"], "year", year, "films"))
 
 
 def _actor_states(actors: DataFrame) -> DataFrame:
-    return actors.filter(F.col("segment") == 0).withColumnRenamed("film_year", "year")
+    return actors.withColumnRenamed("film_year", "year")
 
 
 def actors_scd_backfill(actors: DataFrame, year: int) -> DataFrame:
@@ -192,18 +203,12 @@ def hosts_step(cumulated: DataFrame, events: DataFrame, day: str) -> DataFrame:
     return _shaped(host_datelist_step(cumulated, active, ["host"], day), "hosts_cumulated")
 
 
-def _floats(df: DataFrame, *arrays: str) -> DataFrame:
-    return df.withColumns({a: F.col(a).cast("array<float>") for a in arrays})
-
-
 def hosts_reduced_step(reduced: DataFrame, events: DataFrame, day: str) -> DataFrame:
     """The month's ``hosts_activity_reduced`` rows after ``day``."""
     measures = {"hits": F.count(F.lit(1)), "visitors": F.count_distinct("user_id")}
     daily = daily_measures(events, ["host"], F.to_date("event_time"), day, measures)
     arrays = {"hits": "hit_array", "visitors": "unique_visitors"}
-    longs = reduced.withColumns({a: F.col(a).cast("array<bigint>") for a in arrays.values()})
-    step = monthly_array_step(longs, daily, ["host"], day, arrays)
-    return _shaped(_floats(step, *arrays.values()), "hosts_activity_reduced")
+    return _shaped(monthly_array_step(reduced, daily, ["host"], day, arrays), "hosts_activity_reduced")
 
 
 def array_metrics_step(metrics: DataFrame, events: DataFrame, day: str, metric: str = "site_hits") -> DataFrame:
@@ -211,9 +216,8 @@ def array_metrics_step(metrics: DataFrame, events: DataFrame, day: str, metric:
     known = events.filter(F.col("user_id").isNotNull()).withColumn("metric_name", F.lit(metric))
     keys = ["user_id", "metric_name"]
     daily = daily_measures(known, keys, F.to_date("event_time"), day, {"hits": F.count(F.lit(1))})
-    prev = metrics.filter(F.col("metric_name") == metric).withColumn("metric_array", F.col("metric_array").cast("array<bigint>"))
-    step = monthly_array_step(prev, daily, keys, day, {"hits": "metric_array"})
-    return _shaped(_floats(step, "metric_array"), "array_metrics")
+    prev = metrics.filter(F.col("metric_name") == metric)
+    return _shaped(monthly_array_step(prev, daily, keys, day, {"hits": "metric_array"}), "array_metrics")
 
 
 def metric_by_day(metrics: DataFrame) -> DataFrame:

@@ -59,8 +59,8 @@ TABLES = {
     "device_activity_datelist array<date>",
     "users_cumulated": "user_id bigint, date date, dates_active array<date>",
     "hosts_cumulated": "host string, date date, host_activity_datelist array<date>",
-    "array_metrics": "user_id bigint, month_start date, metric_name string, metric_array array<float>",
-    "hosts_activity_reduced": "host string, month_start date, hit_array array<float>, unique_visitors array<float>",
+    "array_metrics": "user_id bigint, month_start date, metric_name string, metric_array array<bigint>",
+    "hosts_activity_reduced": "host string, month_start date, hit_array array<bigint>, unique_visitors array<bigint>",
     "player_state": "player_name string, height string, college string, country string, current_season int, "
     "player_status string",
     "game_aggregates": "player_name string, team string, season string, total_points bigint, total_wins bigint, "

@@ -17,7 +17,7 @@ from tallyglass.sources.schemas import schema
 from tallyglass.sources.tables import upsert
 
 # Fixed value: the event-time text of the traffic records.
-ISO_PATTERN = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+ISO_PATTERN = "yyyy-MM-dd'T'HH:mm:ss.SSSX"
 
 
 def kafka_stream(
@@ -63,8 +63,8 @@ def parse_traffic(
 ) -> DataFrame:
     """Traffic records from JSON text, with their event time as ``window_timestamp``.
 
-    Text that does not parse gives NULLs; the pattern's ``Z`` is read as the
-    session time zone, which the library sets to UTC.
+    Text that does not parse gives NULLs.  The zone is read from the text, so
+    the instant is right whatever the session's zone.
     """
     parsed = raw.select(F.from_json("value", record or schema("web_traffic")).alias("r")).select("r.*")
     return parsed.withColumn("window_timestamp", F.try_to_timestamp(F.col(time), F.lit(pattern)))
@@ -86,13 +86,13 @@ def write_jdbc_stream(
     checkpoint: str,
     properties: Mapping[str, str],
     every: str = "10 seconds",
-    batch_column: str | None = None,
+    batch_column: str | None = "batch_id",
 ) -> StreamingQuery:
     """Start appending micro-batches to a database table, at least once.
 
-    A batch that is tried again after a failure appends its rows again.  With
-    ``batch_column`` the batch number is written too, and readers can keep one
-    copy by number and key.
+    A batch that is tried again after a failure appends its rows again, so the
+    batch number is written too, and readers can keep one copy by number and
+    key; ``batch_column=None`` leaves it out.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,54 +56,66 @@ def overwrite_partition(df: DataFrame, path: str, partition_by: Sequence[str]) -
     )
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The path and its file system, whichever that is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether ``path`` can be read as a file table."""
-    try:
-        spark.read.format("binaryFile").load(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
+    """Whether there is a file or folder at ``path``."""
+    target, system = _file_system(spark, path)
+    return system.exists(target)
 
 
-def _in_partitions_of(target: DataFrame, rows: DataFrame, partition_by: Sequence[str], most: int = 1000) -> DataFrame:
-    """Rows of ``target`` in the partitions ``rows`` has.
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a staged folder."""
+    target, system = _file_system(spark, path)
+    system.delete(target, True)
 
-    Up to ``most`` partition values become a filter, so Spark lists and reads
-    those folders only; with more, a semi join does it.
+
+def _in_partitions_of(target: DataFrame, rows: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows of ``target`` in the partitions ``rows`` has; two NULL partition values are equal.
+
+    The range of the touched values goes into the scan, so folders outside it are not read.
     """
-    touched = rows.select(*partition_by).distinct()
-    values = touched.limit(most + 1).collect()
-    if len(values) > most:
-        return target.join(touched, list(partition_by), "left_semi")
-    wanted = F.lit(False)
-    for value in values:
-        wanted |= same_values([F.col(c) for c in partition_by], [F.lit(value[c]) for c in partition_by])
-    return target.filter(wanted)
+    ends = rows.agg(*[f(c).alias(f"{n}_{c}") for c in partition_by for n, f in (("min", F.min), ("max", F.max))]).first()
+    for c in partition_by:
+        inside = F.col(c).isNull()
+        if ends[f"min_{c}"] is not None:
+            inside |= F.col(c).between(F.lit(ends[f"min_{c}"]), F.lit(ends[f"max_{c}"]))
+        target = target.filter(inside)
+    old, new = target.alias("old"), rows.select(*partition_by).distinct().alias("new")
+    match = same_values([F.col(f"old.{c}") for c in partition_by], [F.col(f"new.{c}") for c in partition_by])
+    return old.join(new, match, "left_semi")
 
 
 def upsert(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], partition_by: Sequence[str]) -> None:
     """Replace or add rows of a partitioned parquet table by key.
 
-    Only partitions ``source`` touches are read and written.  ``source`` is
-    evaluated once, into the shared folder; the merged rows are staged there
-    too, since a plan cannot overwrite what it reads.  ``keys`` include the
-    partition columns and identify a source row.  A missing table is created.
+    Only partitions ``source`` touches are written.  ``source`` is evaluated
+    once, into the shared folder; the merged rows are staged there too, since a
+    plan cannot overwrite what it reads, and both are removed after the commit.
+    ``keys`` include the partition columns; a key that ``source`` holds twice
+    fails the write before anything is changed.  A missing table is created.
     """
-    if not path_exists(spark, path):
-        overwrite_partition(source, path, partition_by)
-        return
-    arrived = fresh_path(spark, "arrived")
-    source.write.parquet(arrived)
-    incoming = spark.read.schema(source.schema).parquet(arrived)
-    target = spark.read.schema(source.schema).parquet(path)
-    affected = _in_partitions_of(target, incoming, partition_by).alias("old")
-    match = same_values([F.col(f"old.{k}") for k in keys], [F.col(f"new.{k}") for k in keys])
-    untouched = affected.join(incoming.select(*keys).alias("new"), match, "left_anti")
-    merged = fresh_path(spark, "merged")
-    untouched.unionByName(incoming).write.parquet(merged)
-    overwrite_partition(spark.read.schema(source.schema).parquet(merged), path, partition_by)
+    arrived, merged = fresh_path(spark, "arrived"), fresh_path(spark, "merged")
+    try:
+        source.write.parquet(arrived)
+        incoming = spark.read.schema(source.schema).parquet(arrived)
+        assert_unique(incoming, keys)
+        if not path_exists(spark, path):
+            overwrite_partition(incoming, path, partition_by)
+            return
+        target = spark.read.schema(source.schema).parquet(path)
+        affected = _in_partitions_of(target, incoming, partition_by).alias("old")
+        match = same_values([F.col(f"old.{k}") for k in keys], [F.col(f"new.{k}") for k in keys])
+        untouched = affected.join(incoming.select(*keys).alias("new"), match, "left_anti")
+        untouched.unionByName(incoming).write.parquet(merged)
+        overwrite_partition(spark.read.schema(source.schema).parquet(merged), path, partition_by)
+    finally:
+        for staged in (arrived, merged):
+            remove_path(spark, staged)
 
 
 def create_bucketed_snapshots(

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
+from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyglass.session import shared_dir
 from tallyglass.sources.streams import (
     kafka_stream,
     parse_traffic,
@@ -28,31 +27,24 @@ def run_from_files(
     return write_parquet_stream(sessionize_stream(events, gap=gap), target, checkpoint, every)
 
 
-def run_from_kafka(spark: SparkSession) -> StreamingQuery:
-    """Session counts of a Kafka topic into a database, set up by environment variables.
+def run_from_kafka(
+    spark: SparkSession,
+    servers: str,
+    topic: str,
+    url: str,
+    properties: Mapping[str, str],
+    checkpoint: str,
+    username: str | None = None,
+    password: str | None = None,
+    group: str | None = None,
+    table: str = TABLE,
+) -> StreamingQuery:
+    """Session counts of a Kafka topic into a database table.
 
+    ``checkpoint`` must outlive the process: a restart goes on from its offsets.
     The query is returned running; a failure ends it and is raised by
     ``awaitTermination``.
     """
-    env = os.environ
-    events = parse_traffic(
-        kafka_stream(
-            spark,
-            servers=env["KAFKA_URL"],
-            topic=env["KAFKA_TOPIC"],
-            username=env.get("KAFKA_WEB_TRAFFIC_KEY"),
-            password=env.get("KAFKA_WEB_TRAFFIC_SECRET"),
-            extra={"kafka.group.id": env["KAFKA_GROUP"]} if "KAFKA_GROUP" in env else None,
-        )
-    )
-    return write_jdbc_stream(
-        sessionize_stream(events),
-        url=env["POSTGRES_URL"],
-        table=TABLE,
-        checkpoint=f"{shared_dir(spark)}/{TABLE}",
-        properties={
-            "user": env.get("POSTGRES_USER", "postgres"),
-            "password": env.get("POSTGRES_PASSWORD", "postgres"),
-            "driver": "org.postgresql.Driver",
-        },
-    )
+    extra = {"kafka.group.id": group} if group else None
+    events = parse_traffic(kafka_stream(spark, servers, topic, username, password, extra=extra))
+    return write_jdbc_stream(sessionize_stream(events), url, table, checkpoint, properties)

@@ -11,6 +11,8 @@ from tallyglass.operators.cumulative import (
     cumulative_step_multi,
     first_to_last_ratio,
     history_unnest,
+    items_by_period,
+    with_items,
 )
 from tallyglass.plans.periods import empty_snapshot, run_periods, run_periods_bucketed
 from tallyglass.session import fresh_path
@@ -85,7 +87,7 @@ def test_bucketed_snapshots_are_not_shuffled_again(spark, facts):
     def step(prev, season):
         out = cumulative_step(
             prev.hint("merge"), facts.filter(F.col("season") == season), ["name"], "season", ["pts"],
-            grade(F.col("pts"), BOUNDS, "bad"), ["town", "club"],
+            grade(F.col("pts"), BOUNDS, "bad"), ["town", "club"], bucketed=True,
         )
         plans.append(out._jdf.queryExecution().executedPlan().toString())
         return out
@@ -96,7 +98,8 @@ def test_bucketed_snapshots_are_not_shuffled_again(spark, facts):
         spark, "bucketed_people", path, schema, "season", range(2000, 2005), step, ["name"], 4
     )
     assertDataFrameEqual(folded.select(*schema.names), backfill(facts).select(*schema.names))
-    assert all(p.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in p for p in plans)
+    # one for the new rows; the rows with a NULL key are joined apart
+    assert all(p.count("Exchange hashpartitioning(name#") == 1 and "Bucketed: true" in p for p in plans)
     spark.sql("DROP TABLE bucketed_people")
 
 
@@ -123,66 +126,51 @@ def test_unnest_and_ratio(facts):
 
 FILMS = "actor string, actorid string, film string, year int, votes int, rating double, filmid string"
 ITEM = ["film", "votes", "rating", "filmid"]
+MULTI = "actorid string, actor string, grade string, is_active boolean, year int"
 
 
-def multi(rows, **more):
+def multi():
     return {
-        "keys": ["actorid"], "period": "year", "item": ITEM, "item_id": ["filmid"], "average": F.col("rating"),
-        "grade": lambda s: grade(s, [(8, "star"), (7, "good"), (6, "average")], "bad"), "label": ["actor"], **more,
+        "keys": ["actorid"], "period": "year", "average": F.col("rating"),
+        "grade": lambda s: grade(s, [(8, "star"), (7, "good"), (6, "average")], "bad"), "label": ["actor"],
     }
 
 
-MULTI = (
-    "actorid string, segment bigint, actor string, "
-    "items array<struct<film:string,votes:int,rating:double,filmid:string>>, grade string, is_active boolean, year int"
-)
-
-
 @pytest.fixture(scope="module")
 def films(spark):
     rows = [
         ("Ann", "a", "f1", 2000, 5, 8.0, "1"),  # average exactly 8 is good
         ("Ann", "a", "f2", 2000, 5, 8.0, "2"),
-        ("Ann", "a", "f3", 2002, 5, 9.0, "3"),
-        ("Bob", "b", "f4", 2001, 5, 6.5, "4"),
+        ("Anna", "a", "f3", 2002, 5, 9.0, "3"),
+        (None, "b", "f4", 2001, 5, 6.5, "4"),
+        ("Nil", None, "f5", 2000, 5, 9.5, "5"),
+        ("Nil", None, "f6", 2001, 5, 6.5, "6"),
     ]
-    rows += [("Hot", "h", f"g{y}-{i:03d}", y, i, 5.0 + i % 5, f"{y}-{i}") for y in (2000, 2001) for i in range(100)]
+    rows += [(f"n{i}", "h", f"g{y}-{i:03d}", y, i, 5.0 + i % 5, f"{y}-{i}") for y in (2000, 2001) for i in range(100)]
     return spark.createDataFrame(rows, FILMS)
 
 
-def fold_multi(spark, films, years, **more):
-    snapshot = empty_snapshot(spark, MULTI)
-    for year in years:
-        snapshot = cumulative_step_multi(snapshot, films, at=year, **multi(films, **more))
-    return snapshot
-
-
 def test_multi_fold_equals_bootstrap(spark, films):
     columns = empty_snapshot(spark, MULTI).columns
-    folded = fold_multi(spark, films, range(2000, 2003))
-    boot = cumulative_bootstrap_multi(films, at=2002, **multi(films))
-    assertDataFrameEqual(folded.select(*columns), boot.select(*columns))
-    ann = {r.actorid: r for r in folded.collect()}["a"]
-    assert (ann.grade, ann.is_active, len(ann["items"])) == ("star", True, 3)
+    state = empty_snapshot(spark, MULTI)
+    for year in range(2000, 2003):
+        state = cumulative_step_multi(state, films, at=year, **multi())
+        boot = cumulative_bootstrap_multi(films, at=year, **multi())
+        assert rows_of(state, *columns) == rows_of(boot, *columns)
+    got = {r.actorid: (r.actor, r.grade, r.is_active) for r in state.collect()}
+    assert got == {
+        "a": ("Anna", "star", True), "b": (None, "average", False), "h": ("n99", "average", False), None: ("Nil", "average", False),
+    }
 
 
-def test_multi_cuts_a_hot_entity_into_segments(spark, films):
-    folded = fold_multi(spark, films, [2000, 2001, 2002], rows_per_segment=30)
-    columns = empty_snapshot(spark, MULTI).columns
-    boot = cumulative_bootstrap_multi(films, at=2002, **multi(films, rows_per_segment=30))
-    assertDataFrameEqual(folded.select(*columns), boot.select(*columns))
-    hot = folded.filter("actorid = 'h'").collect()
-    assert len(hot) > 2 and max(len(r["items"]) for r in hot if r.segment > 0) < 60
-    got = sorted(i.filmid for r in hot for i in r["items"])
-    assert got == sorted(f"{y}-{i}" for y in (2000, 2001) for i in range(100))
-    # One class and activity for all segments, from the whole of the last active year.
-    assert {(r.grade, r.is_active) for r in hot} == {("average", False)}
-    cold = folded.filter("actorid <> 'h'")
-    assert {r.segment for r in cold.collect()} == {0}
-
-
-def test_multi_keeps_a_hot_entity_whose_segment_0_gets_no_row(spark, films):
-    one = films.filter("actorid = 'h' and year = 2000").limit(2)
-    step = cumulative_step_multi(empty_snapshot(spark, MULTI), one, at=2000, **multi(films, rows_per_segment=1))
-    assert sum(len(r["items"]) for r in step.collect()) == 2
-    assert step.filter("segment = 0").count() == 1
+@pytest.mark.parametrize("parts", [1, 4])
+def test_items_hold_every_row_once(spark, films, parts):
+    stored = items_by_period(films, ["actorid"], "year", ITEM, ["filmid"], parts)
+    rows = stored.collect()
+    assert len({(r.actorid, r.year, r.part) for r in rows}) == len(rows)
+    assert {r.part for r in rows if r.actorid == "h"} == set(range(parts))
+    got = sorted((str(r.actorid), r.year, i.filmid) for r in rows for i in r["items"])
+    assert got == sorted((str(r.actorid), r.year, r.filmid) for r in films.collect())
+    state = cumulative_bootstrap_multi(films, at=2002, **multi())
+    view = {r.actorid: [i.film for i in r["items"]] for r in with_items(state, stored, ["actorid"], "year", 2002).collect()}
+    assert view["a"] == ["f1", "f2", "f3"] and view[None] == ["f5", "f6"] and len(view["h"]) == 200 and view["h"] == sorted(view["h"])

@@ -64,8 +64,8 @@ def test_day_jobs_can_be_repeated(spark, catalog):
     dates = [date(2023, 1, 1), date(2023, 1, 3)]
     assert rows_of(spark.table("hosts_cumulated").filter(last), "host_activity_datelist") == [(dates,)]
     assert rows_of(spark.table("user_devices_cumulated").filter(last), "device_activity_datelist") == [(dates[::-1],)]
-    assert rows_of(spark.table("hosts_activity_reduced"), "hit_array", "unique_visitors") == [([2.0, 0.0, 1.0], [1.0, 0.0, 1.0])]
-    assert rows_of(spark.table("array_metrics"), "user_id", "metric_array") == [(7, [2.0, 0.0, 1.0])]
+    assert rows_of(spark.table("hosts_activity_reduced"), "hit_array", "unique_visitors") == [([2, 0, 1], [1, 0, 1])]
+    assert rows_of(spark.table("array_metrics"), "user_id", "metric_array") == [(7, [2, 0, 1])]
     assert spark.table("hosts_cumulated").count() == 3
 
 

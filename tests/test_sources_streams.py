@@ -75,8 +75,37 @@ def test_upsert_reads_only_its_partitions(spark, tmp_path):
     target = spark.read.parquet(path)
     picked = tables._in_partitions_of(target, rows.filter("month = 'jan'"), ["month"])
     assert "PartitionFilters: [(month" in picked._jdf.queryExecution().executedPlan().toString()
-    many = tables._in_partitions_of(target, rows.filter("month = 'jan'"), ["month"], most=0)
-    assert rows_of(picked, "hits") == rows_of(many, "hits") == [(1,)]
+    assert rows_of(picked, "hits") == [(1,)]
+
+
+@pytest.mark.parametrize("others", [3, 1200])
+def test_upsert_keeps_rows_of_a_null_partition(spark, tmp_path, others):
+    path = str(tmp_path / "t")
+    schema = "id int, month int, v string"
+    tables.overwrite_partition(spark.createDataFrame([(1, None, "x"), (2, None, "y")], schema), path, ["month"])
+    new = spark.createDataFrame([(1, None, "new")] + [(10 + i, i, "z") for i in range(others)], schema)
+    tables.upsert(spark, path, new.repartition(1), ["id", "month"], ["month"])
+    got = rows_of(spark.read.schema(schema).parquet(path).filter("month is null"), "id", "v")
+    assert got == [(1, "new"), (2, "y")]
+    assert spark.read.schema(schema).parquet(path).count() == others + 2
+
+
+def test_upsert_refuses_repeated_keys_and_leaves_nothing_staged(spark, tmp_path):
+    from tallyglass.session import shared_dir
+
+    path, schema = str(tmp_path / "t"), "id int, month int, v string"
+
+    def staged():
+        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+        system = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in system.listStatus(fs)] if system.exists(fs) else []
+        return [n for n in names if n.startswith(("arrived", "merged"))]
+
+    tables.upsert(spark, path, spark.createDataFrame([(1, 1, "a")], schema), ["id", "month"], ["month"])
+    with pytest.raises(ValueError, match="not unique"):
+        tables.upsert(spark, path, spark.createDataFrame([(1, 1, "b"), (1, 1, "c")], schema), ["id", "month"], ["month"])
+    assert rows_of(spark.read.schema(schema).parquet(path), "v") == [("a",)]
+    assert staged() == []
 
 
 def test_assert_unique(spark):

@@ -76,7 +76,7 @@ def test_actors(spark):
     for year in (2018, 2019, 2020):
         state = wh.actors_step(state, films, year)
         snapshots = state if snapshots is None else snapshots.unionByName(state)
-    columns = [*schema("actors").names, "segment"]
+    columns = schema("actors").names
     assert rows_of(state, *columns) == rows_of(wh.actors_bootstrap(films, 2020), *columns)
     assert rows_of(snapshots, "actorid", "film_year", "quality_class", "is_active") == [
         ("a1", 2018, "star", True), ("a1", 2019, "star", False), ("a1", 2020, "bad", True),

@@ -34,6 +34,17 @@ def grouping_sets_cube(
     )
 
 
+def grouped_top(
+    df: DataFrame, per: Sequence[str], measure: Column, name: str
+) -> DataFrame:
+    """Top row of one grouping, aggregated on its own.
+
+    The same row as :func:`cube_top` gives for the set ``per``, without the work of the other sets.
+    """
+    keys = [F.col(c).cast("string").alias(c) for c in per]
+    return top_one(df.groupBy(*per).agg(measure.alias(name)).select(*keys, name), name, list(per))
+
+
 def cube_top(
     cube: DataFrame, labels: Mapping[str, str], per: Sequence[str], measure: str
 ) -> DataFrame:

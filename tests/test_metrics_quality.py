@@ -70,6 +70,12 @@ def test_completeness_and_freshness(spark):
     df = spark.createDataFrame(rows, "k string, day date")
     got = quality.completeness(df, ["k"], F.col("day"), trailing=3).filter("is_low").collect()
     assert [(r.day, r.row_count, r.trailing_mean) for r in got] == [(date(2024, 1, 6), 4, 10.0)]
+    # days 6 and 7 missing: both are flagged, at 0 rows
+    gone = spark.createDataFrame([("k", date(2024, 1, d)) for d in (1, 2, 3, 4, 5, 8) for _ in range(10)], "k string, day date")
+    low = quality.completeness(gone, ["k"], F.col("day"), trailing=3).filter("is_low").collect()
+    assert [(r.day, r.row_count) for r in low] == [(date(2024, 1, 6), 0), (date(2024, 1, 7), 0)]
+    until = quality.completeness(gone, ["k"], F.col("day"), trailing=3, as_of="2024-01-10").filter("is_low").collect()
+    assert sorted(r.day for r in until)[-1] == date(2024, 1, 10)
     fresh = quality.freshness(df, ["k"], "day", "2024-01-08").collect()[0]
     assert (fresh.age_days, fresh.is_stale) == (2, True)
 

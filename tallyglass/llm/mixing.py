@@ -207,7 +207,9 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     joined = numbered.join(rows.drop("row").join(extra, "__row", "left"), "__row")
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     slices = F.transform("__parts", lambda p: F.slice(F.col("__split"), p["from"].cast("int") + 1, p["words"].cast("int")))
-    again = F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(F.array_join(F.flatten(slices), ""))
+    # __split is named twice, as Spark would else move its expression into the lambda and split the text again for each piece
+    cut = F.when(F.size("__split") > 0, F.array_join(F.flatten(slices), ""))
+    again = F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(cut)
     columns = docs.columns
     full = joined.filter("__whole > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("__whole"))).alias("__copy")).drop("__copy")
     part = joined.filter("__parts is not null").withColumn("__split", words).withColumn("text", again)

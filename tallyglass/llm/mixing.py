@@ -154,14 +154,20 @@ def shard_counts(slots: DataFrame) -> DataFrame:
 
 
 def _pieces(placed: DataFrame, block_words: int) -> DataFrame:
-    """(row, skey, block, from, words): a document's words in each block it touches."""
+    """(row, skey, block, nth, lead, words): a document's words in each block it touches.
+
+    ``nth`` counts the document's blocks from 0, and ``lead`` is what precedes the document in the first of them.
+    """
     touched = F.sequence(
         F.floor(F.col("begin") / block_words).cast("bigint"), F.floor((F.col("begin") + F.col("size") - 1) / block_words).cast("bigint")
     )
     rows = placed.filter("size > 0").select("row", "skey", "size", "begin", F.explode(touched).alias("block"))
     start = F.greatest(F.col("begin"), F.col("block") * block_words)
     end = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block_words)
-    return rows.select("row", "skey", "block", (start - F.col("begin")).alias("from"), (end - start).alias("words"))
+    nth = F.col("block") - F.floor(F.col("begin") / block_words).cast("bigint")
+    return rows.select(
+        "row", "skey", "block", nth.cast("int").alias("nth"), (F.col("begin") % block_words).cast("int").alias("lead"), (end - start).alias("words")
+    )
 
 
 def mix_plan(docs: DataFrame, block_words: int = BLOCK_WORDS, row: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -202,17 +208,18 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         pieces.join(rows, "row")
         .filter(F.col("times") > F.col("__whole"))
         .groupBy("__row")
-        .agg(F.sort_array(F.collect_list(F.struct("from", "words"))).alias("__parts"), F.sum("words").alias("__words"))
+        .agg(F.collect_set("nth").alias("__blocks"), F.first("lead").alias("__lead"), F.sum("words").alias("__words"))
     )
     joined = numbered.join(rows.drop("row").join(extra, "__row", "left"), "__row")
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    slices = F.transform("__parts", lambda p: F.slice(F.col("__split"), p["from"].cast("int") + 1, p["words"].cast("int")))
-    # __split is named twice, as Spark would else move its expression into the lambda and split the text again for each piece
-    cut = F.when(F.size("__split") > 0, F.array_join(F.flatten(slices), ""))
-    again = F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(cut)
+    taken = F.transform(F.sequence(F.lit(0), F.array_max("__blocks")), lambda n: F.array_contains("__blocks", n))
+    of_word = lambda i: F.get(F.col("__taken"), F.floor((i + F.col("__lead")) / block_words).cast("int"))
+    kept = F.array_join(F.filter(words, lambda _, i: F.coalesce(of_word(i), F.lit(False))), "")
+    # __taken is named twice, as Spark would else move its expression into the lambda and build it again for each word
+    again = F.when(F.col("__words") == F.col("__size"), F.col("text")).when(F.size("__taken") > 0, kept)
     columns = docs.columns
     full = joined.filter("__whole > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("__whole"))).alias("__copy")).drop("__copy")
-    part = joined.filter("__parts is not null").withColumn("__split", words).withColumn("text", again)
+    part = joined.filter("__words is not null").withColumn("__taken", taken).withColumn("text", again)
     if "n_chars" in columns:
         part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return reduce(DataFrame.unionByName, [full, part.select(*columns)])

@@ -24,6 +24,7 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
+SLOTS_PER_TASK = 100_000
 #: Ids in a run, and runs in a group, for running sums in three levels.
 RUN, GROUP = 128, 2048
 _PRIMES = (4194301, 4194287)  # below 2^22, so products with sizes up to 2^40 fit in 64 bits
@@ -131,11 +132,13 @@ def slot_table(per: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     A source's slots are made in stretches that are dealt out first, so a hot source is spread.
     """
     stretch = 4096
+    total = per.agg(F.max("all_slots")).first()[0] or 0
     stretches = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("slots") - 1) / stretch).cast("bigint"))
     dealt = (
         per.filter("slots > 0")
         .select("skey", "source_no", "blocks", "slots", "slots_before", "all_slots", F.explode(stretches).alias("stretch"))
-        .repartition("skey", "stretch")
+        # A number of its own, as by the size of these few rows Spark would put them all in one task.
+        .repartition(max(1, -(-total // SLOTS_PER_TASK)), "skey", "stretch")
     )
     first = F.col("stretch") * stretch
     last = F.least(first + stretch, F.col("slots")) - 1
@@ -176,7 +179,8 @@ def mix_plan(docs: DataFrame, block_words: int = BLOCK_WORDS, row: Column | None
     per = stored(with_slots(source_targets(sizes), block_words), "targets")
     slots = slot_table(per)
     taken = slots.groupBy("skey", "block").agg(F.count(F.lit(1)).alias("times"))
-    pieces = _pieces(stream_starts(sizes), block_words).join(taken, ["skey", "block"])
+    # Merged, here and below: Spark takes exploded rows for as few as they came from, and would copy them to every executor.
+    pieces = _pieces(stream_starts(sizes), block_words).join(taken.hint("merge"), ["skey", "block"])
     rows = sizes.join(per.select("skey", "source_size", "target", "blocks", "slots"), "skey")
     return rows, pieces, slots
 
@@ -189,7 +193,7 @@ def mix_report(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """
     rows, pieces, _ = mix_plan(docs, block_words)
     taken = pieces.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return rows.join(taken, "row", "left").select(
+    return rows.join(taken.hint("merge"), "row", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source"
     )
 
@@ -210,7 +214,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         .groupBy("__row")
         .agg(F.collect_set("nth").alias("__blocks"), F.first("lead").alias("__lead"), F.sum("words").alias("__words"))
     )
-    joined = numbered.join(rows.drop("row").join(extra, "__row", "left"), "__row")
+    joined = numbered.join(rows.drop("row").join(extra.hint("merge"), "__row", "left").hint("merge"), "__row")
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     taken = F.transform(F.sequence(F.lit(0), F.array_max("__blocks")), lambda n: F.array_contains("__blocks", n))
     of_word = lambda i: F.get(F.col("__taken"), F.floor((i + F.col("__lead")) / block_words).cast("int"))

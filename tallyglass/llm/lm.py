@@ -32,8 +32,8 @@ from tallyglass.llm.trie import Trie, restored
 
 HELD_OUT = (10, 0)
 PRIOR = 8.0
-CHUNK_TOKENS = 800_000
-SHARD_TOKENS = 3_000_000
+CHUNK_TOKENS = 400_000
+SHARD_TOKENS = 1_200_000
 END, START = b"", b" "  # no word is empty or a space
 _HASH = {w: xxhash.xxh3_64_intdigest(w, 7) for w in (END, START)}
 

@@ -6,18 +6,19 @@ from pyspark.sql import functions as F
 
 import pytest
 
-import __spark_entry__ as entry_points
+import __spark_entry__  # noqa: F401 - importing registers the queries
 from tallyglass.operators.dedup import device_event_join
 from tallyglass.operators.monthly import daily_measures
 from tallyglass.operators.sessions import sessionize_batch
 from tallyglass.plans import warehouse as wh
+from tallyglass.plans.registry import QUERIES
 from tallyglass.sources.schemas import schema
 from tallyglass.sources.tables import overwrite_partition
 
 # These write tables or run a stream while they are built.
 EAGER = {
     "append_by_name", "bucketed_fact_join", "bucketed_player_join", "csv_scan", "layout_sizes", "overwrite_partition",
-    "overwrite_table", "sessionize_stream", "upsert",
+    "overwrite_table", "sessionize_stream", "traffic_sessions", "traffic_sessions_late", "upsert", "upsert_many_partitions",
 }
 # One-row results: their last step is a single task over partial aggregates.
 ONE_ROW = {
@@ -30,9 +31,9 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_points.queries()) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
 def test_no_cross_join_no_python_no_single_task(spark, sf_dir, name):
-    plan = plan_of(entry_points.queries()[name](spark, sf_dir))
+    plan = plan_of(QUERIES[name](spark, sf_dir))
     assert not re.search(r"Cartesian|NestedLoop|EvalPython|InPandas|InArrow|MapPartitions|BatchScan", plan)
     if name in ONE_ROW:
         assert re.search(r"(Hash|Sort)Aggregate\([^\n]*\n[^\n]*Exchange SinglePartition", plan)
@@ -41,7 +42,7 @@ def test_no_cross_join_no_python_no_single_task(spark, sf_dir, name):
 
 
 def test_scans_read_only_the_columns_used(spark, sf_dir):
-    plan = plan_of(entry_points.queries()["datelist_int_from_events"](spark, sf_dir))
+    plan = plan_of(QUERIES["datelist_int_from_events"](spark, sf_dir))
     assert re.findall(r"ReadSchema: struct<([^>]*)>", plan) == ["ts:timestamp_ntz,user_id:bigint"]
     plan = plan_of(sessionize_batch(spark.read.parquet(f"{sf_dir}/events.parquet"), ["user_id"], "ts", 300))
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>" in plan and "IsNotNull(ts)" in plan
@@ -69,12 +70,12 @@ def test_a_step_reads_one_partition_of_its_state(spark, tmp_path):
 def test_backfill_shuffles_its_facts_once_per_grain(spark, sf_dir):
     # One exchange to build a row per customer and year, one to gather a customer's years.
     for name in ("cumulative_backfill", "scd2_backfill"):
-        assert plan_of(entry_points.queries()[name](spark, sf_dir)).count("Exchange hashpartitioning") == 2
+        assert plan_of(QUERIES[name](spark, sf_dir)).count("Exchange hashpartitioning") == 2
 
 
 def test_bucketed_joins_have_no_exchange(spark, sf_dir):
     for name in ("bucketed_fact_join", "bucketed_player_join"):
-        plan = plan_of(entry_points.queries()[name](spark, sf_dir))
+        plan = plan_of(QUERIES[name](spark, sf_dir))
         assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" in plan
 
 
@@ -112,3 +113,9 @@ def test_a_hot_device_is_split_over_tasks(spark):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     assert sum(counts.values()) == 120_000 and counts[7] > 40_000
     assert "SortMergeJoin(skew=true)" in plan
+
+
+@pytest.mark.parametrize("name", ["cube_top_player_team", "cube_top_player_season", "cube_top_team"])
+def test_one_grouping_is_aggregated_alone(spark, sf_dir, name):
+    # the only Expand allowed is the one of a distinct count, which has no grouping id
+    assert "spark_grouping_id" not in plan_of(QUERIES[name](spark, sf_dir))

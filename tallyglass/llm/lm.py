@@ -32,7 +32,7 @@ from tallyglass.llm.trie import Trie, restored
 
 HELD_OUT = (10, 0)
 PRIOR = 8.0
-CHUNK_TOKENS = 400_000
+CHUNK_TOKENS = 600_000
 SHARD_TOKENS = 1_200_000
 END, START = b"", b" "  # no word is empty or a space
 _HASH = {w: xxhash.xxh3_64_intdigest(w, 7) for w in (END, START)}
@@ -51,6 +51,17 @@ def _unpacked(blob: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, -1).T).view(dtype).ravel()
 
 
+def _short(hashes: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: enough to tell words apart within a pair's context, and a quarter less to send."""
+    return np.ascontiguousarray((hashes >> np.uint64(16)).astype("<u8").view("u1").reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_short(blob: bytes) -> np.ndarray:
+    full = np.zeros((len(blob) // 6, 8), "u1")
+    full[:, :6] = np.frombuffer(blob, "u1").reshape(-1, 6)
+    return full.view("<u8").ravel()
+
+
 CHUNKS = "chunk bigint, doc_ids binary, has_id binary, held binary, sizes binary, codes binary, words binary, counts binary, tokens bigint"
 
 
@@ -223,6 +234,7 @@ def _pairs(row: dict, shards: int, hot: np.ndarray):
 def pair_answers(chunks: DataFrame, shards: int, hot: dict[int, int], prior: float = PRIOR) -> DataFrame:
     """Stored rows (chunk, shard, codes): quantised probabilities from the trie for a chunk's pairs in a shard."""
     hot_names = np.array(sorted(hot), "u8")
+    hot_counts = {name >> 16: count for name, count in hot.items()}
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,9 +250,9 @@ def pair_answers(chunks: DataFrame, shards: int, hot: dict[int, int], prior: flo
                         {
                             "shard": [shard[at[0]]],
                             "chunk": [row["chunk"]],
-                            "first": [first[at][heads].tobytes()],
+                            "first": [_short(first[at][heads])],
                             "runs": [_packed(runs.astype("u4"))],
-                            "second": [second[at].tobytes()],
+                            "second": [_short(second[at])],
                             "counts": [_packed(counts[at].astype("u4"))],
                         }
                     )
@@ -248,8 +260,8 @@ def pair_answers(chunks: DataFrame, shards: int, hot: dict[int, int], prior: flo
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _groups(batches):
             runs = [_unpacked(r["runs"], "u4") for r in rows]
-            first = np.concatenate([np.repeat(np.frombuffer(r["first"], "u8"), n) for r, n in zip(rows, runs, strict=True)])
-            seconds = [np.frombuffer(r["second"], "u8") for r in rows]
+            first = np.concatenate([np.repeat(_from_short(r["first"]), n) for r, n in zip(rows, runs, strict=True)])
+            seconds = [_from_short(r["second"]) for r in rows]
             second = np.concatenate(seconds)
             counts = np.concatenate([_unpacked(r["counts"], "u4") for r in rows]).astype("i8")
             seen = counts > 0
@@ -259,8 +271,8 @@ def pair_answers(chunks: DataFrame, shards: int, hot: dict[int, int], prior: flo
             together = np.bincount(pair_no, counts[seen], len(pairs))
             name_of = pairs // max(1, len(others))
             context = np.bincount(name_of, together, len(names))
-            for i in np.flatnonzero(np.isin(names, hot_names)):
-                context[i] = hot[int(names[i])]
+            for i in np.flatnonzero(np.isin(names, hot_names >> np.uint64(16))):
+                context[i] = hot_counts[int(names[i])]
             trie = Trie(names[name_of], others[pairs % max(1, len(others))], together / (context[name_of] + prior))
             codes = trie(first, second)
             parts = np.split(codes, np.cumsum([len(s) for s in seconds])[:-1])
@@ -280,8 +292,8 @@ SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, trai
 def lm_scores(docs: DataFrame, held_out: tuple[int, int] = HELD_OUT, prior: float = PRIOR) -> DataFrame:
     """One row per document; a NULL or empty text is a lone end token.
 
-    A row counts for training by its id alone, so repeated rows count repeatedly.  Words and pairs are told apart by 64-bit
-    hashes.  Without training documents every token has probability 1 by the base formula.
+    A row counts for training by its id alone, so repeated rows count repeatedly.  Words are told apart by 64-bit hashes,
+    the words of pairs by 48 bits of them.  Without training documents every token has probability 1 by the base formula.
     """
     chunks = chunk_table(docs, held_out)
     tokens = chunks.agg(F.sum("tokens")).first()[0] or 0

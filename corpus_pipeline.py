@@ -33,9 +33,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens in windows of 1024."""
+    """Pieces of the documents' tokens in windows of 1024, with their token ids: a window is its pieces in order of offset."""
     find_package(spark)
-    return packing.concatenate_and_cut(docs)
+    return packing.concatenate_and_cut(docs, with_ids=True)
 
 
 STAGES = [

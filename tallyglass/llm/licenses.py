@@ -5,12 +5,17 @@ through it: after each word the automaton holds the longest suffix of the words
 matching statistic) and the state of that suffix.  Where a match of at least ``MIN_MATCH`` words cannot grow it becomes an
 anchor; anchors of one template in text order and template order are chained over small gaps, and a chain that covers
 enough of its template is a span.  A phrase ends at a word when its state is the current state or one of its suffixes.
+
+Templates are notices and, from ``license_texts``, every paragraph of the licenses.  A template of fewer than ``SHORT`` words
+has to stand in the text whole and unbroken, like a phrase; a span of a template that holds its license's name must hold the
+name too; and where spans of two licenses lie over each other, the one with more of the words stays.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 
@@ -58,7 +63,36 @@ TEMPLATES = {
         "licensed under cc by nc",
     ],
 }
+# The short notices of the licenses that go by a name, and the creative commons notices of other versions.
+for _label, _names in {
+    "mit": ["mit license"],
+    "apache-2": ["apache license version 2 0", "apache license 2 0", "apache 2 0 license"],
+    "gpl": ["gnu general public license", "gnu gpl"],
+    "lgpl": ["gnu lesser general public license", "gnu library general public license", "gnu lgpl"],
+    "mpl-2": ["mozilla public license 2 0", "mozilla public license version 2 0", "mozilla public license v 2 0"],
+    "isc": ["isc license"],
+    "bsd": ["bsd license", "2 clause bsd license", "3 clause bsd license", "bsd 2 clause license", "bsd 3 clause license"],
+}.items():
+    for _start in ("licensed", "released", "distributed"):
+        TEMPLATES[_label] += [f"{_start} under {x} {n}" for x in ("the", "the terms of the") for n in _names]
+for _label, _name in {"cc-by": "attribution", "cc-by-sa": "attribution sharealike", "cc-by-nc": "attribution noncommercial"}.items():
+    for _version in ("3 0 unported", "2 5 generic", "2 0 generic"):
+        TEMPLATES[_label].append(f"this work is licensed under a creative commons {_name} {_version} license")
+TEMPLATES["cc-by"] += [f"licensed under cc by {v}" for v in ("4 0", "3 0", "2 5", "2 0")]
+TEMPLATES["cc-by-sa"].append("licensed under cc by sa")
+
+# Words that tell a license from those with like wording; a span of a template that holds one of them must hold one.
+NAMES = {
+    "apache-2": ["apache license"],
+    "gpl": ["gnu general public license"],
+    "lgpl": ["lesser general public license", "library general public license"],
+    "mpl-2": ["mozilla public license"],
+    "cc-by": [f"commons attribution {v}" for v in ("4 0", "3 0", "2 5", "2 0")],
+    "cc-by-sa": ["attribution sharealike"],
+    "cc-by-nc": [f"attribution noncommercial {v}" for v in ("4 0", "3 0", "2 5", "2 0")],
+}
 
+SHORT = 12  # words of a template from which on it may be covered in parts
 MIN_MATCH = 3  # words of an anchor
 MAX_GAP = 12  # words between two anchors of a chain, in the text and in the template
 MIN_COVER = 0.6  # share of a template that a chain must cover
@@ -137,10 +171,35 @@ class SuffixAutomaton:
         return found
 
 
+def license_texts() -> dict[str, list[str]]:
+    """Every paragraph of the licenses in ``license_texts``; headings and other short ones go with the next."""
+    found: dict[str, list[str]] = {}
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        label = next(x for x in sorted(TEMPLATES, key=len, reverse=True) if path.name.startswith(x))
+        many, short = found.setdefault(label, []), []
+        for paragraph in re.split(rb"\n\s*\n", path.read_bytes().lower()):
+            short += WORD.findall(paragraph)
+            if len(short) >= SHORT:
+                many.append(b" ".join(short).decode())
+                short = []
+        if short:
+            many.append(f"{many.pop()} {b' '.join(short).decode()}")
+    return found
+
+
 class Scanner:
     def __init__(self, templates: dict[str, list[str]], phrases: dict[str, str]):
-        texts = [(label, t.encode().split()) for label, many in templates.items() for t in many]
+        texts = [(label, t.encode().split()) for label, many in templates.items() for t in dict.fromkeys(many)]
+        # The phrases, and after them the short templates: both have to stand in the text whole.
         self.phrases = [(p.encode().split(), label) for p, label in phrases.items()]
+        self.n_phrases = len(self.phrases)
+        self.phrases += [(words, label) for label, words in texts if len(words) < SHORT]
+        texts = [(label, words) for label, words in texts if len(words) >= SHORT]
+        names = {label: [b" " + n.encode() + b" " for n in many] for label, many in NAMES.items()}
+        # Per template the names of which its spans must hold one; none where the template has no name in it.
+        self.names = [
+            names[label] if any(n in b" %b " % b" ".join(words) for n in names.get(label, ())) else () for label, words in texts
+        ]
         self.labels = [label for label, _ in texts]
         self.lengths = [len(words) for _, words in texts]
         self.automaton = SuffixAutomaton([words for _, words in texts] + [words for words, _ in self.phrases])
@@ -152,7 +211,7 @@ class Scanner:
         ]
 
     def matches(self, words: list[bytes]):
-        """Yields (position, state, length) of matches that cannot grow; phrase places go to ``self.places``."""
+        """Yields (position, state, length) of matches that cannot grow; phrase and short template places go to ``self.places``."""
         a = self.automaton
         step, link, lengths, phrases_at = a.step, a.link, a.length, self.phrases_at
         self.places = []
@@ -203,18 +262,27 @@ class Scanner:
                 open_chains[number] = [*(k for k in kept if k[0] != best[0]), best]
         for number, many in open_chains.items():
             done += [(number, first, e, covered) for first, e, _, covered in many]
-        spans: dict[tuple[str, int, int], float] = {}
+        spans: dict[tuple[str, int, int], tuple[int, float]] = {}
         for number, first, last, covered in done:
             share = min(1.0, covered / self.lengths[number])
-            if share >= MIN_COVER:
+            if share >= MIN_COVER and self._named(number, words[first : last + 1]):
                 key = (self.labels[number], first, last)
-                spans[key] = max(share, spans.get(key, 0.0))
-        return [(*k, v) for k, v in sorted(spans.items(), key=lambda x: (x[0][1], x[0][2], x[0][0]))]
+                spans[key] = max((covered, share), spans.get(key, (0, 0.0)))
+        for at, n in self.places:
+            if n >= self.n_phrases:
+                phrase, label = self.phrases[n]
+                key = (label, at, at + len(phrase) - 1)
+                spans[key] = max((len(phrase), 1.0), spans.get(key, (0, 0.0)))
+        return [(*k, v[1]) for k, v in sorted(_unrivalled(spans).items(), key=lambda x: (x[0][1], x[0][2], x[0][0]))]
+
+    def _named(self, number: int, words: list[bytes]) -> bool:
+        names = self.names[number]
+        return not names or any(n in b" %b " % b" ".join(words) for n in names)
 
     def scan(self, text: str) -> dict:
         words = WORD.findall(text.encode().lower())
         spans = self.chains(words)
-        places = self.places
+        places = [(at, n) for at, n in self.places if n < self.n_phrases]
         base = {self.phrases[n][1] for _, n in places}
         starts = [p for p, _ in places]
         return {
@@ -229,9 +297,33 @@ class Scanner:
         }
 
 
+def _unrivalled(spans: dict[tuple[str, int, int], tuple[int, float]]) -> dict[tuple[str, int, int], tuple[int, float]]:
+    """The spans (label, first, last) -> (words covered, share) that no other license's span over the same words beats.
+
+    Some paragraphs stand in two licenses; such a tie goes to a license that has a span of its own in the text, if there is one.
+    """
+    rivals: dict[tuple, list[tuple]] = {k: [] for k in spans}
+    active: list[tuple] = []
+    for key in sorted(spans, key=lambda k: k[1:]):
+        active = [a for a in active if a[2] >= key[1]]
+        for other in active:
+            both = min(other[2], key[2]) - key[1] + 1
+            if other[0] != key[0] and 2 * both > min(other[2] - other[1], key[2] - key[1]) + 1:
+                rivals[key].append(other)
+                rivals[other].append(key)
+        active.append(key)
+    top = {k: max((spans[r][0] for r in many), default=0) for k, many in rivals.items()}
+    own = {k[0] for k, (covered, _) in spans.items() if covered > top[k]}
+    return {
+        k: v for k, v in spans.items()
+        if v[0] > top[k] or (v[0] == top[k] and (k[0] in own or not any(r[0] in own for r in rivals[k] if spans[r][0] == v[0])))
+    }
+
+
 @lru_cache(maxsize=1)
 def _default_scanner() -> Scanner:
-    return Scanner(TEMPLATES, PHRASES)
+    texts = license_texts()
+    return Scanner({label: many + texts.get(label, []) for label, many in TEMPLATES.items()}, PHRASES)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,8 +6,10 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
+from tallyglass.llm import licenses
 from tests.llm import odd
 
 
@@ -24,3 +26,38 @@ def test_packed_windows_hold_the_token_ids(spark, sf_dir):
     for ids in np.split(stream, np.flatnonzero(stream == 0) + 1)[:-1]:
         texts[tokenizer.decode(ids[:-1].tolist(), skip_special_tokens=False)] += 1
     assert texts == Counter(t or "" for _, t, _ in odd.texts())
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("It was released under the title Big Book", ""),
+        ("licensed under the terms of sale", ""),
+        ("released under the Apache License, Version 2.0", "apache-2"),
+        ("released under the GNU General Public License", "gpl"),
+        ("licensed under CC BY 4.0", "cc-by"),
+        ("licensed under CC BY-SA", "cc-by-sa"),
+        ("licensed under CC BY-NC", "cc-by-nc"),
+        ("licensed under the terms of the MIT license", "mit"),
+        ("This work is licensed under a Creative Commons Zero license", ""),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", ""),
+        (
+            "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+            "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+            "lgpl",
+        ),
+    ],
+)
+def test_license_notices(text, labels):
+    assert licenses._default_scanner().scan(text)["labels"] == labels
+
+
+def test_every_paragraph_of_a_license_gets_its_label():
+    scanner = licenses._default_scanner()
+    texts = licenses.license_texts()
+    assert set(texts) == {"mit", "apache-2", "bsd", "gpl", "lgpl", "mpl-2", "isc"}
+    for label, many in texts.items():
+        for paragraph in many:
+            assert label in scanner.scan(paragraph)["labels"].split(","), paragraph
+        for other in scanner.scan("\n".join(many))["labels"].split(","):
+            assert other == label

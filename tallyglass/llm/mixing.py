@@ -4,7 +4,8 @@ Each source's words are packed into blocks of ``block_words``.  Sources get as m
 needs; every slot goes through a pseudorandom permutation of all slots to its place in an output shard, so a shard's
 source counts are a multinomial draw, conditioned on the totals: unconditioned draws would miss a small source's target by
 the square root of its slots and could pass the cap.  A source's slots in turn go through a permutation of its block
-numbers, a new one for each round over its blocks, and blocks are joined by (source, number).
+numbers, a new one for each round over its blocks, and blocks are joined by (source, number).  The mix is written by
+(shard, position), one partition per shard.
 
 The permutations are arithmetic on 64-bit integers (rotations of rows by a hashed amount, and multiplication by a prime
 modulo the size), so reruns agree and no row has to be ranked.
@@ -12,8 +13,6 @@ modulo the size), so reruns agree and no row has to be ranked.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,9 +156,9 @@ def shard_counts(slots: DataFrame) -> DataFrame:
 
 
 def _pieces(placed: DataFrame, block_words: int) -> DataFrame:
-    """(row, skey, block, nth, lead, words): a document's words in each block it touches.
+    """(row, skey, block, at, start, words): a document's words in each block it touches.
 
-    ``nth`` counts the document's blocks from 0, and ``lead`` is what precedes the document in the first of them.
+    ``at`` is their place in the block, and ``start`` the first one's number in the document.
     """
     touched = F.sequence(
         F.floor(F.col("begin") / block_words).cast("bigint"), F.floor((F.col("begin") + F.col("size") - 1) / block_words).cast("bigint")
@@ -167,63 +166,67 @@ def _pieces(placed: DataFrame, block_words: int) -> DataFrame:
     rows = placed.filter("size > 0").select("row", "skey", "size", "begin", F.explode(touched).alias("block"))
     start = F.greatest(F.col("begin"), F.col("block") * block_words)
     end = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block_words)
-    nth = F.col("block") - F.floor(F.col("begin") / block_words).cast("bigint")
     return rows.select(
-        "row", "skey", "block", nth.cast("int").alias("nth"), (F.col("begin") % block_words).cast("int").alias("lead"), (end - start).alias("words")
-    )
+        "row", "skey", "block", (start - F.col("block") * block_words).cast("int").alias("at"), (start - F.col("begin")).cast("int").alias("start"),
+        (end - start).cast("int").alias("words"),
+    )
 
 
 def mix_plan(docs: DataFrame, block_words: int = BLOCK_WORDS, row: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with their source's figures, and pieces with the times they are taken, and the slot table."""
+    """Rows with their source's figures, the stored rows of the mix, and the slot table.
+
+    A row of the mix is what one document gives to the block in one slot: (shard, position, at, row, start, words).
+    """
     sizes = word_sizes(docs, row)
     per = stored(with_slots(source_targets(sizes), block_words), "targets")
     slots = slot_table(per)
-    taken = slots.groupBy("skey", "block").agg(F.count(F.lit(1)).alias("times"))
     # Merged, here and below: Spark takes exploded rows for as few as they came from, and would copy them to every executor.
-    pieces = _pieces(stream_starts(sizes), block_words).join(taken.hint("merge"), ["skey", "block"])
-    rows = sizes.join(per.select("skey", "source_size", "target", "blocks", "slots"), "skey")
-    return rows, pieces, slots
+    mixed = _pieces(stream_starts(sizes), block_words).join(slots.hint("merge"), ["skey", "block"])
+    mixed = stored(mixed.select("shard", "position", "at", "row", "start", "words"), "mixed")
+    rows = sizes.join(per.select("skey", "source_size", "target"), "skey")
+    return rows, mixed, slots
 
 
 def mix_report(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: its size, its source's size and target, and how many of its words the mix takes.
+    """One row per document: its size, its source's size and target, and how many of its words the mix's rows take.
 
     A NULL or empty text has size 0 and is taken 0 times; a NULL source is a source of its own, after all others.
     Repeated rows lie one after the other in their source's stream.
     """
-    rows, pieces, _ = mix_plan(docs, block_words)
-    taken = pieces.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    rows, mixed, _ = mix_plan(docs, block_words)
+    taken = mixed.groupBy("row").agg(F.sum(F.col("words").cast("bigint")).alias("taken"))
     return rows.join(taken.hint("merge"), "row", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "source"
     )
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The mixed documents, with the columns of ``docs``.
+    """The mix, with the columns of ``docs``, one partition per output shard and in order of position.
 
-    A document whose every block is taken k times occurs k times whole; words of blocks that are taken once more make one
-    further row, with the white space before each word.  Documents that no slot takes are left out.
+    A row is the words of a document in one slot's block, with the white space before each word and after the last one of
+    the document.  Documents without words, and those that no slot takes, are left out.
     """
     numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "to-mix")
-    rows, pieces, _ = mix_plan(numbered, block_words, F.col("__row"))
-    whole = F.floor(F.col("slots") / F.greatest(F.col("blocks"), F.lit(1))).cast("int")
-    rows = rows.select("row", F.col("row").alias("__row"), F.col("size").alias("__size"), whole.alias("__whole"))
-    extra = (
-        pieces.join(rows, "row")
-        .filter(F.col("times") > F.col("__whole"))
-        .groupBy("__row")
-        .agg(F.collect_set("nth").alias("__blocks"), F.first("lead").alias("__lead"), F.sum("words").alias("__words"))
+    _, mixed, _ = mix_plan(numbered, block_words, F.col("__row"))
+    shards = (mixed.agg(F.max("shard")).first()[0] or 0) + 1
+    # Of one document: three times its blocks at most, so as long as its text.
+    places = mixed.groupBy(F.col("row").alias("__row")).agg(
+        F.collect_list(F.struct("shard", "position", "at", "start", "words")).alias("__places")
     )
-    joined = numbered.join(rows.drop("row").join(extra.hint("merge"), "__row", "left").hint("merge"), "__row")
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    taken = F.transform(F.sequence(F.lit(0), F.array_max("__blocks")), lambda n: F.array_contains("__blocks", n))
-    of_word = lambda i: F.get(F.col("__taken"), F.floor((i + F.col("__lead")) / block_words).cast("int"))
-    kept = F.array_join(F.filter(words, lambda _, i: F.coalesce(of_word(i), F.lit(False))), "")
-    # __taken is named twice, as Spark would else move its expression into the lambda and build it again for each word
-    again = F.when(F.col("__words") == F.col("__size"), F.col("text")).when(F.size("__taken") > 0, kept)
-    columns = docs.columns
-    full = joined.filter("__whole > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("__whole"))).alias("__copy")).drop("__copy")
-    part = joined.filter("__words is not null").withColumn("__taken", taken).withColumn("text", again)
-    if "n_chars" in columns:
-        part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return reduce(DataFrame.unionByName, [full, part.select(*columns)])
+    space = r"[\x20\x09-\x0D]"
+    words = F.regexp_extract_all(F.col("text"), F.lit(rf"{space}*{WORD}(?:{space}+\z)?"), F.lit(0))
+    joined = numbered.join(places.hint("merge"), "__row").withColumn("__words", words)
+    piece = lambda p: F.struct(
+        p["shard"].alias("shard"), p["position"].alias("position"), p["at"].alias("at"),
+        F.array_join(F.slice(F.col("__words"), p["start"] + 1, p["words"]), "").alias("text"),
+    )
+    # __words is named twice, as Spark would else move its expression into the lambda and split the text again for each piece
+    pieces = F.when(F.size("__words") > 0, F.transform("__places", piece))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    cut = joined.select(*others, pieces.alias("__pieces")).select(*others, F.explode("__pieces").alias("__piece"))
+    dealt = cut.repartitionById(shards, F.col("__piece.shard").cast("int")).sortWithinPartitions("__piece.shard", "__piece.position", "__piece.at")
+    text = F.col("__piece.text")
+    columns = {"text": text}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return dealt.select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))

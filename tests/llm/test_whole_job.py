@@ -7,9 +7,10 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyglass.llm import licenses
+from tallyglass.llm import licenses, mixing
 from tests.llm import odd
 
 
@@ -61,3 +62,29 @@ def test_every_paragraph_of_a_license_gets_its_label():
             assert label in scanner.scan(paragraph)["labels"].split(","), paragraph
         for other in scanner.scan("\n".join(many))["labels"].split(","):
             assert other == label
+
+
+def test_mix_is_written_by_shard_and_position(spark):
+    # ordered by source, as tables often are
+    rows = [(i, odd.prose(i, 2000) + " \n", f"s{i // 60}") for i in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    mixed = mixing.mix(docs).withColumn("shard", F.spark_partition_id()).collect()
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix_report(docs).collect()}
+    words, pieces = Counter(), {}
+    for r in mixed:
+        words[r["doc_id"]] += len(r["text"].split())
+        pieces.setdefault(r["doc_id"], set()).add(r["text"])
+    assert {d: words[d] for d in taken} == taken
+    texts = {d: t for d, t, _ in rows}
+    for d, found in pieces.items():
+        assert all(p in texts[d] for p in found)
+        if taken[d] == 2000 * (taken[d] // 2000) and taken[d]:
+            assert sum(map(len, found)) == len(texts[d])  # whole, white space and all
+    # every stretch of the output follows the weights
+    share = {s: sum(w for d, w in taken.items() if d // 60 == int(s[1])) / sum(taken.values()) for s in ("s0", "s1", "s2")}
+    assert len({r["shard"] for r in mixed}) == 2
+    for at in range(0, len(mixed) - 500, 500):
+        part = Counter()
+        for r in mixed[at : at + 500]:
+            part[r["source"]] += len(r["text"].split())
+        assert all(abs(part[s] / sum(part.values()) - x) < 0.15 for s, x in share.items())

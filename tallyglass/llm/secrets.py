@@ -3,7 +3,8 @@
 A text is cut into tokens.  Only a token that is long and mixes letters with digits may begin (B) or continue (I) a secret;
 all others are outside (O) by rule.  So the best path falls apart at the others, and only the neighbourhoods of such
 tokens have to be decoded.  The field is trained on the patterns' own matches, with the telling neighbours left out of half
-of them, so that it also has to go by a token's shape; training uses a bounded number of neighbourhoods.
+of them, so that it also has to go by a token's shape; training uses a bounded number of neighbourhoods, half of it kept for
+those with a match.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+|[^\sA-Za-z0-9+/_=-]")
 CLUES = re.compile(r"pass(word|wd)?|secret|token|key|auth|bearer|credential|private|access", re.IGNORECASE | re.ASCII)
 #: Characters around an eligible token that its neighbourhood takes in.
 AROUND = 48
-#: Neighbourhoods the field is trained on at most, in order of a hash of the document's id.
+#: Parts of neighbourhoods the field is trained on at most, of those with a pattern's match and as many of those without.
 FIT_SEGMENTS = 2000
 LONGEST = 24  # tokens of a training neighbourhood; longer ones are trained on in parts
 STEPS, RATE, DECAY = 150, 0.15, 1e-3
@@ -238,13 +239,39 @@ def scan_table(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     return stored(map_texts(id_and_text(docs), each, "doc_id bigint, spans string, segments string"), "scanned")
 
 
+def training_parts(scanned: DataFrame) -> DataFrame:
+    """Rows (doc_id, at, matched, part): all neighbourhoods in parts of ``LONGEST`` tokens, and whether a match lies in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts = [s[at : at + LONGEST] for s in json.loads(found) for at in range(0, len(s), LONGEST)]
+                for k in range(0, len(parts), 1000):
+                    some = parts[k : k + 1000]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([doc_id] * len(some), pa.int64()),
+                            pa.array(range(k, k + len(some)), pa.int64()),
+                            pa.array([any(t[4] for t in p) for p in some]),
+                            pa.array([json.dumps(p) for p in some]),
+                        ],
+                        names=["doc_id", "at", "matched", "part"],
+                    )
+
+    rows = scanned.filter("segments is not null").select("doc_id", "segments")
+    return rows.mapInArrow(run, "doc_id bigint, at bigint, matched boolean, part string")
+
+
 def fit(scanned: DataFrame) -> Field:
-    """A field from at most ``FIT_SEGMENTS`` documents with a neighbourhood, in order of a hash of their ids."""
-    rows = (
-        scanned.filter("segments is not null").select("segments").orderBy(F.xxhash64("doc_id"), F.xxhash64("segments"))
-        .limit(FIT_SEGMENTS).collect()
-    )
-    return train([s for r in rows for s in json.loads(r["segments"])[:8]][: 2 * FIT_SEGMENTS])
+    """A field from at most ``FIT_SEGMENTS`` parts of neighbourhoods with a match and as many without, drawn by hash from all."""
+    parts = stored(training_parts(scanned), "parts")
+    drawn = [
+        row["part"]
+        for matched in (True, False)
+        for row in parts.filter(F.col("matched") == matched).select("part", F.xxhash64("doc_id", "at", "part").alias("draw"))
+        .orderBy("draw", "part").limit(FIT_SEGMENTS).collect()
+    ]
+    return train([json.loads(p) for p in drawn])
 
 
 def all_spans(field: Field, spans: list, found: list) -> list[tuple[int, int, str]]:

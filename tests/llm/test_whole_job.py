@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyglass.llm import licenses, mixing
+from tallyglass.llm import licenses, mixing, secrets
 from tests.llm import odd
 
 
@@ -88,3 +88,19 @@ def test_mix_is_written_by_shard_and_position(spark):
         for r in mixed[at : at + 500]:
             part[r["source"]] += len(r["text"].split())
         assert all(abs(part[s] / sum(part.values()) - x) < 0.15 for s, x in share.items())
+
+
+def test_secret_field_learns_from_rare_and_late_matches(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "FIT_SEGMENTS", 40)
+    rng = np.random.default_rng(5)
+    letters = list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789")
+    key = lambda n: "".join(rng.choice(letters, n))
+    rows = [(i, f"{odd.prose(i, 60)} order-2024-{i:04}-{i:06} {odd.prose(i, 40)}", "s") for i in range(300)]
+    late = " ".join(f"{odd.prose(k, 30)} order-2023-{k:04}-{k:06}" for k in range(12))
+    rows += [(1000 + i, f"{late} {odd.prose(i, 30)} API_KEY: {key(32)} {odd.prose(i, 30)}", "s") for i in range(8)]
+    rows += [(2000, f"my credential is {key(36)} so keep it", "s")]
+    scanned = secrets.scan_table(odd.documents(spark, rows))
+    assert secrets.training_parts(scanned).filter("matched").count() == 8
+    found = {r["doc_id"]: r["n_model"] for r in secrets.secret_report(odd.documents(spark, rows)).collect()}
+    assert found[2000] == 1
+    assert not any(found[i] for i in range(300))

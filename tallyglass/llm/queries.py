@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyglass.llm import classifier, fingerprints, jaccard, licenses, lm, mixing, packing, rules, secrets, toxicity
+from tallyglass.llm import (
+    classifier,
+    digests,
+    fingerprints,
+    jaccard,
+    licenses,
+    lm,
+    mixing,
+    packing,
+    ranking,
+    rules,
+    secrets,
+    spelling,
+    toxicity,
+)
 from tallyglass.llm.common import find_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +88,22 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.exact_dedup(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_ranked_search"] = ranking.RANKED_SEARCH_SQL
+ORACLES["op12_exact_dedup"] = digests.EXACT_DEDUP_SQL

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tallyglass.llm.common import id_and_text, stored
 from tallyglass.session import fresh_path
-from tallyglass.sources.tables import create_bucketed_snapshots, drop_table, overwrite_table, path_exists
+from tallyglass.sources.tables import create_bucketed_snapshots, drop_table, path_exists
 
 #: Groups that hold more than one row in this many are joined by broadcast; there are fewer of them than this number.
 HOT_SHARE = 20_000
@@ -72,10 +72,14 @@ class DigestIndex:
     def add(self, rows: DataFrame, batch: int) -> None:
         """Append the unseen digests of ``rows`` as partition ``batch``; running a batch again replaces it.
 
-        Batches have ascending numbers, and one is run again before later ones are.
+        Batches have ascending numbers, and one is run again before later ones are.  The new rows are staged first, as a
+        table is not overwritten by what reads it.
         """
-        new = self.unseen(rows, batch).withColumn("batch", F.lit(batch))
-        overwrite_table(new.repartition(self.n_buckets, "digest"), self.table)
+        new = stored(self.unseen(rows, batch), "unseen")
+        self.spark.sql(
+            f"INSERT OVERWRITE TABLE {self.table} PARTITION (batch = {int(batch)}) SELECT digest, doc_id, row FROM {{new}}",
+            new=new.repartition(self.n_buckets, "digest"),
+        )
 
     def close(self) -> None:
         """Drop the session's name for the index; its files stay."""

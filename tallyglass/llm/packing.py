@@ -10,12 +10,12 @@ The only rows that meet in one place are the partitions' totals, one small row p
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,8 @@ from tallyglass.llm.common import DOCS_PER_CALL, id_and_text, stored
 
 WINDOW = 1024
 END_ID = 0
-#: Word pieces a worker remembers in each of two generations.
-CACHED_PIECES = 600_000
+#: Word pieces a worker remembers in each of two generations, some 80 MB; between tasks it keeps one of them.
+CACHED_PIECES = 350_000
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -52,6 +52,8 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer  # noqa: PLC0415
 
+        # a task has one core; threads of its own cost more than they save
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
@@ -60,13 +62,14 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers."""
         plain = [_PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        split = [_SPLIT.findall(t) if p else () for t, p in zip(texts, plain, strict=True)]
-        wanted = set(chain.from_iterable(split))
-        if len(self.known) + len(wanted) > CACHED_PIECES:
+        split = [_SPLIT.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
+        if len(self.known) > CACHED_PIECES:
             # two generations: what is still in use comes back from the older one
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        missing = wanted.difference(known)
+        found = [list(map(known.get, pieces)) for pieces in split]
+        gaps = [None in ids for ids in found]
+        missing = {p for pieces, ids, gap in zip(split, found, gaps, strict=True) if gap for p, x in zip(pieces, ids, strict=True) if x is None}
         known.update((piece, older[piece]) for piece in missing.intersection(older))
         new = list(missing.difference(older))
         for at in range(0, len(new), 10_000):
@@ -75,10 +78,14 @@ class Encoder:
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[piece] = array("I", e.ids).tobytes()
         return [
-            b"".join(map(known.__getitem__, pieces)) if p else self._whole(t)
-            for t, p, pieces in zip(texts, plain, split, strict=True)
+            (b"".join(map(known.__getitem__, pieces)) if gap else b"".join(ids)) if p else self._whole(t)
+            for t, p, pieces, ids, gap in zip(texts, plain, split, found, gaps, strict=True)
         ]
 
+    def task_done(self) -> None:
+        """Forget one generation; workers outlive their tasks."""
+        self.older = {}
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -120,6 +127,7 @@ def token_table(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: s
                     ],
                     names=["part", "before", "doc_id", "doc_tokens", "ids"],
                 )
+        encoder.task_done()
 
     tokens = id_and_text(docs, id_col, text_col).mapInArrow(
         run, "part bigint, before bigint, doc_id bigint, doc_tokens bigint, ids binary"

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import id_and_text, id_remainder, map_texts, stored
+from tallyglass.llm.common import DOCS_PER_CALL, id_and_text, id_remainder, map_texts, stored
 
 HELD_OUT = (4, 2)  # modulus and remainder of the rows never learned from
 CUTOFF = 0.7
@@ -241,14 +241,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, scored in place."""
-    model = fit(statistics_table(docs), labels)
+    """The rows of ``docs`` that the classifier does not reject, scored in place.
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd  # noqa: PLC0415
+    A NULL text is scored as an empty one; repeated rows are kept or rejected alike; an empty table stays empty.
+    """
+    model = fit(statistics_table(docs), labels)
 
-        out = [model(np.array([statistics(t) for t in texts.iloc[at : at + 256]])) for at in range(0, len(texts), 256)]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        # slices, so that a worker holds few texts as strings at a time
+        parts = (texts.slice(at, DOCS_PER_CALL).to_pylist() for at in range(0, len(texts), DOCS_PER_CALL))
+        found = [model(np.array([statistics(t) for t in part])) for part in parts]
+        return pa.array(np.concatenate(found) if found else np.zeros(0))
 
     return docs.filter(score(F.coalesce(F.col("text"), F.lit(""))) >= cutoff)

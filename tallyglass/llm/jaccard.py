@@ -350,9 +350,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest id; of repeated rows with that id and text, one."""
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    own = numbered.select(F.col("__row").alias("doc_id"), "text")
-    found = near_duplicates(own, threshold).select(F.col("doc_id").alias("__row"), F.col("class_id").alias("__class"))
-    ids = numbered.select("__row", F.col("doc_id").alias("__id"))
-    best = found.join(ids, "__row").groupBy("__class").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row"))["__row"].alias("__row"))
-    return numbered.join(best.select("__row"), "__row", "left_semi").drop("__row")
+    # the documents' columns travel inside one struct, so none clashes with a name used here
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    held = F.struct(F.lit(0).alias("text"), *[F.col(f"`{c}`") for c in others]).alias("held")
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", held), "numbered")
+    found = near_duplicates(numbered.select(F.col("row").alias("doc_id"), "text"), threshold)
+    found = found.select(F.col("doc_id").alias("row"), F.col("class_id").alias("class"))
+    ids = numbered.select("row", "doc_id")
+    best = found.join(ids, "row").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
+    kept = numbered.join(best.select("row"), "row", "left_semi")
+    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col("held").getField(c).alias(c) for c in docs.columns])

@@ -206,27 +206,28 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     A row is the words of a document in one slot's block, with the white space before each word and after the last one of
     the document.  Documents without words, and those that no slot takes, are left out.
     """
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "to-mix")
-    _, mixed, _ = mix_plan(numbered, block_words, F.col("__row"))
+    # the documents' columns travel inside one struct, so none clashes with a name used here
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.lit(0).alias("text")).alias("held")
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("number"), "doc_id", "text", "source", held), "to-mix")
+    _, mixed, _ = mix_plan(numbered, block_words, F.col("number"))
     shards = (mixed.agg(F.max("shard")).first()[0] or 0) + 1
     # Of one document: three times its blocks at most, so as long as its text.
-    places = mixed.groupBy(F.col("row").alias("__row")).agg(
-        F.collect_list(F.struct("shard", "position", "at", "start", "words")).alias("__places")
+    places = mixed.groupBy(F.col("row").alias("number")).agg(
+        F.collect_list(F.struct("shard", "position", "at", "start", "words")).alias("places")
     )
     space = r"[\x20\x09-\x0D]"
     words = F.regexp_extract_all(F.col("text"), F.lit(rf"{space}*{WORD}(?:{space}+\z)?"), F.lit(0))
-    joined = numbered.join(places.hint("merge"), "__row").withColumn("__words", words)
+    joined = numbered.join(places.hint("merge"), "number").withColumn("words", words)
     piece = lambda p: F.struct(
         p["shard"].alias("shard"), p["position"].alias("position"), p["at"].alias("at"),
-        F.array_join(F.slice(F.col("__words"), p["start"] + 1, p["words"]), "").alias("text"),
+        F.array_join(F.slice(F.col("words"), p["start"] + 1, p["words"]), "").alias("text"),
     )
-    # __words is named twice, as Spark would else move its expression into the lambda and split the text again for each piece
-    pieces = F.when(F.size("__words") > 0, F.transform("__places", piece))
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    cut = joined.select(*others, pieces.alias("__pieces")).select(*others, F.explode("__pieces").alias("__piece"))
-    dealt = cut.repartitionById(shards, F.col("__piece.shard").cast("int")).sortWithinPartitions("__piece.shard", "__piece.position", "__piece.at")
-    text = F.col("__piece.text")
+    # words is named twice, as Spark would else move its expression into the lambda and split the text again for each piece
+    pieces = F.when(F.size("words") > 0, F.transform("places", piece))
+    cut = joined.select("held", pieces.alias("pieces")).select("held", F.explode("pieces").alias("piece"))
+    dealt = cut.repartitionById(shards, F.col("piece.shard").cast("int")).sortWithinPartitions("piece.shard", "piece.position", "piece.at")
+    text = F.col("piece.text")
     columns = {"text": text}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    return dealt.select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))
+    return dealt.select(*((columns[c] if c in columns else F.col("held").getField(c)).alias(c) for c in docs.columns))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import id_and_text, map_texts, stored
+from tallyglass.llm.common import DOCS_PER_CALL, id_and_text, map_texts, stored
 
 # The patterns of the base result.  Runs of a class are matched whole, so a least length can stand in them.
 ASSIGN = re.compile(
@@ -323,34 +323,41 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span in its text replaced by ``mark``, and ``n_chars`` set to the new length where it changed."""
-    field = fit(scan_table(docs))
-
-    @F.pandas_udf("string")
-    def cleaned(texts):
-        import pandas as pd  # noqa: PLC0415
-
-        def one(text):
-            if text is None:
-                return None
-            spans = base_spans(text)
-            parts, at = [], 0
-            for start, end, _ in all_spans(field, spans, segments(text, spans)):
-                if start >= at:
-                    parts += [text[at:start], mark]
-                at = max(at, end)
-            return "".join([*parts, text[at:]]) if parts else text
+    """``docs`` with every span in its text replaced by ``mark``, and ``n_chars`` set to the new length where it changed.
 
-        return pd.Series([one(t) for t in texts], dtype=object)
+    A NULL text stays NULL, an empty one empty; repeated rows change alike; an empty table stays empty.  Columns of any name
+    pass through, as they travel inside one struct.
+    """
+    field = fit(scan_table(docs))
 
-    out = docs.withColumn("__text", cleaned("text"))
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        spans = base_spans(text)
+        parts, at = [], 0
+        for start, end, _ in all_spans(field, spans, segments(text, spans)):
+            if start >= at:
+                parts += [text[at:start], mark]
+            at = max(at, end)
+        return "".join([*parts, text[at:]]) if parts else text
+
+    @F.arrow_udf("string")
+    def cleaned(texts: pa.Array) -> pa.Array:
+        # slices, so that a worker holds few texts as strings at a time
+        parts = [pa.array([one(t) for t in texts.slice(at, DOCS_PER_CALL).to_pylist()], pa.string()) for at in range(0, len(texts), DOCS_PER_CALL)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    others = [c for c in docs.columns if c != "text"]
+    held = F.struct(F.lit(0).alias("text"), *[F.col(f"`{c}`") for c in others]).alias("held")
+    out = docs.select(held, F.col("text").alias("before"), cleaned("text").alias("after"))
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.col("__text").alias("text"))
+            columns.append(F.col("after").alias("text"))
         elif c == "n_chars":
-            changed = ~F.col("text").eqNullSafe(F.col("__text"))
-            columns.append(F.when(changed, F.length("__text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+            changed = ~F.col("before").eqNullSafe(F.col("after"))
+            length = F.length("after").cast(docs.schema[c].dataType)
+            columns.append(F.when(changed, length).otherwise(F.col("held").getField(c)).alias(c))
         else:
-            columns.append(F.col(f"`{c}`"))
+            columns.append(F.col("held").getField(c).alias(c))
     return out.select(*columns)

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import types as T
 
+CLASHING = ["__row", "__piece", "__text", "__words", "__places", "__id", "__class", "held", "number", "after", "piece", "digest", "batch", "item", "rank", "list"]
 SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -22,6 +23,7 @@ SCHEMA = T.StructType(
         T.StructField("member", T.StringType()),
         T.StructField("score", T.DoubleType()),
         T.StructField("held_out", T.BooleanType()),
+        *(T.StructField(name, T.StringType()) for name in CLASHING),
     ]
 )
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -58,8 +60,8 @@ def texts() -> list[tuple]:
 
 def documents(spark, rows=None):
     rows = texts() if rows is None else rows
-    full = [(d, t, "en", s, len(t) if t is not None else None, *[None] * 9) for d, t, s in rows]
-    return spark.createDataFrame([(*r, *[None] * (len(SCHEMA) - len(r))) for r in full], SCHEMA)
+    full = [(d, t, "en", s, len(t) if t is not None else None, *[None] * 10) for d, t, s in rows]
+    return spark.createDataFrame([(*r, *(f"{name} of {r[0]}" for name in CLASHING)) for r in full], SCHEMA)
 
 
 def labels(spark, rows=None):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,25 @@ from tallyglass.session import fresh_path
 DOCS_PER_CALL = 256
 
 
+_held: dict[str, Any] = {}
+
+
+def worker_memory(owner: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker remembers from task to task for ``owner``, made when first asked for.
+
+    Workers outlive their tasks and stages, so only the last owner's memory is held: whoever asks next frees the others'.
+    """
+    if owner not in _held:
+        release_memory()
+        _held[owner] = make()
+    return _held[owner]
+
+
+def release_memory() -> None:
+    """Free what earlier tasks of this worker remembered."""
+    _held.clear()
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once into the shared folder and read back.
 
@@ -50,6 +70,7 @@ def map_texts(df: DataFrame, each: Callable[[list, list], dict[str, list]], sche
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS_PER_CALL):
                 part = batch.slice(at, DOCS_PER_CALL)

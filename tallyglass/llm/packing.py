@@ -15,7 +15,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import DOCS_PER_CALL, id_and_text, stored
+from tallyglass.llm.common import DOCS_PER_CALL, id_and_text, stored, worker_memory
 
 WINDOW = 1024
 END_ID = 0
-#: Word pieces a worker remembers in each of two generations, some 80 MB; between tasks it keeps one of them.
-CACHED_PIECES = 350_000
+#: Word pieces a worker remembers in each of two generations, some 130 MB each.
+CACHED_PIECES = 600_000
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -82,19 +81,10 @@ class Encoder:
             for t, p, pieces, ids, gap in zip(texts, plain, split, found, gaps, strict=True)
         ]
 
-    def task_done(self) -> None:
-        """Forget one generation; workers outlive their tasks."""
-        self.older = {}
-
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def _vocabulary(name: str) -> str:
     """Where an executor finds a tokenizer file."""
     import public_tokenizers  # noqa: PLC0415
@@ -106,7 +96,8 @@ def token_table(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: s
     """Stored rows (part, before, doc_id, doc_tokens, ids): each document's ids and its place in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(_vocabulary(tokenizer))
+        path = _vocabulary(tokenizer)
+        encoder = worker_memory(f"pieces of {path}", lambda: Encoder(path))
         part, before = TaskContext.get().partitionId(), 0
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
@@ -127,7 +118,6 @@ def token_table(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: s
                     ],
                     names=["part", "before", "doc_id", "doc_tokens", "ids"],
                 )
-        encoder.task_done()
 
     tokens = id_and_text(docs, id_col, text_col).mapInArrow(
         run, "part bigint, before bigint, doc_id bigint, doc_tokens bigint, ids binary"

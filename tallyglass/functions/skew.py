@@ -71,3 +71,29 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     """
     rows = df.limit(max_rows + 1).count()
     return F.broadcast(df) if rows <= max_rows else df
+
+
+def time_chunks(
+    df: DataFrame, key: str, at: str, before: int = 0, after: int = 0, threshold: int = HOT_ROWS
+) -> DataFrame:
+    """Rows with a ``_chunk`` of time, so that a hot key's windows over ``at`` run in many tasks.
+
+    An ordinary key is one chunk.  A hot key's span is cut into even chunks,
+    enough to bring each near the threshold, none shorter than the reach of a
+    window.  A row is in its own chunk (``_own``) and, as a halo, in those whose
+    windows reach it: ``before`` units back or ``after`` units ahead.  ``at`` is
+    a long without NULLs; windows partition by ``key`` and ``_chunk``, and keep
+    the rows with ``_own`` afterwards.
+    """
+    hot = hot_keys(df, [key], threshold, extra=[F.min(at).alias("_from"), F.max(at).alias("_to")])
+    span = F.col("_to") - F.col("_from") + 1
+    length = F.greatest(F.ceil(span / F.col("salts")).cast("bigint"), F.lit(max(before, after, 1)).cast("bigint"))
+    hot = hot.select(key, "_from", length.alias("_length"), F.floor((span - 1) / length).alias("_last"))
+    joined = df.alias("l").join(F.broadcast(hot.alias("h")), _same_key([key]), "left")
+    chunk = lambda moved: F.floor((F.col(f"l.{at}") + moved - F.col("_from")) / F.col("_length"))
+    reached = F.sequence(F.greatest(chunk(-after), F.lit(0)), F.least(chunk(before), F.col("_last")))
+    chunks = F.coalesce(reached, F.array(F.lit(0).cast("bigint")))
+    own = F.coalesce(chunk(0), F.lit(0).cast("bigint"))
+    return joined.select("l.*", own.alias("_home"), F.explode(chunks).alias("_chunk")).withColumn(
+        "_own", F.col("_home") == F.col("_chunk")
+    ).drop("_home")

@@ -25,10 +25,21 @@ def bucketed_fact_join(
     second column (match and player, say) that spreads a large key.  ``dims``
     are (table, join column) pairs, broadcast if their size check allows it.
     """
-    joined = None
-    for name, table in tables.items():
-        stored = write_bucketed(table.sparkSession, table, name, n_buckets, on)
-        joined = stored if joined is None else joined.hint("merge").join(stored, list(on))
+    stored = [write_bucketed(table.sparkSession, table, name, n_buckets, on) for name, table in tables.items()]
+    return kept_fact_join(stored, on, dims)
+
+
+def kept_fact_join(
+    tables: Sequence[DataFrame], on: Sequence[str], dims: Sequence[tuple[DataFrame, str]] = ()
+) -> DataFrame:
+    """Join bucketed tables in place, without an exchange.
+
+    ``tables`` are scans of tables that :func:`tallyglass.sources.tables.keep_bucketed` keeps, bucketed on exactly ``on`` into
+    as many buckets each; rows appended to them since are joined like the others.
+    """
+    joined = tables[0]
+    for table in tables[1:]:
+        joined = joined.hint("merge").join(table, list(on))
     for dim, column in dims:
         joined = joined.join(broadcast_checked(dim), column)
     return joined

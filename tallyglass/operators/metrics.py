@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyglass.operators.datelist import datelist_int_from_events
@@ -86,6 +86,87 @@ def active_users(events: DataFrame, user: str, day: Column, as_of) -> DataFrame:
     )
 
 
+def daily_user_bitmaps(events: DataFrame, user: str, day: Column) -> DataFrame:
+    """Users of each day as bitmaps: ``day``, ``bucket`` and ``users``, a bit for each number in the bucket.
+
+    ``user`` is a whole number; a bucket of 32,768 of them takes 4 kB, so numbers should lie close together.  Bitmaps of parts
+    of a day, or of several days, merge by ``bitmap_or_agg``.
+    """
+    known = events.select(F.col(user).cast("bigint").alias("_user"), day.alias("day")).filter("_user is not null and day is not null")
+    return known.groupBy("day", F.bitmap_bucket_number("_user").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_user")).alias("users")
+    )
+
+
+def active_users_series(bitmaps: DataFrame, windows: Mapping[str, int]) -> DataFrame:
+    """Distinct users of the last so many days, for every day from the first to the last: one column per window.
+
+    ``bitmaps`` come from :func:`daily_user_bitmaps`, in any number of parts per day and bucket.  A bucket's bitmaps of a
+    frame are or'ed, so a task holds one bucket's rows, one per day.
+    """
+    merged = bitmaps.groupBy("day", "bucket").agg(F.bitmap_or_agg("users").alias("users"))
+    by_day = Window.partitionBy("bucket").orderBy("_number")
+    numbered = merged.select("bucket", F.unix_date("day").alias("_number"), "users")
+    # a bucket's rows go on, without users, until its next day or until no window reaches back to it
+    longest = max(windows.values())
+    span = F.least(F.coalesce(F.lead("_number").over(by_day) - F.col("_number"), F.lit(longest)), F.lit(longest))
+    rows = numbered.withColumn("_span", span).select(
+        "bucket", "_number", "users", F.explode(F.sequence(F.lit(0), F.col("_span") - 1)).alias("_later")
+    )
+    seen = F.when(F.col("_later") == 0, F.col("users"))
+    filled = rows.select("bucket", (F.col("_number") + F.col("_later")).alias("_number"), seen.alias("users"))
+    counts = [F.bitmap_count(F.bitmap_or_agg("users").over(by_day.rangeBetween(1 - n, 0))).alias(name) for name, n in windows.items()]
+    counted = filled.select("_number", F.col("users").isNotNull().alias("_seen"), *counts)
+    per_day = counted.groupBy(F.date_from_unix_date("_number").alias("day")).agg(
+        F.bool_or("_seen").alias("_seen"), *[F.sum(name).alias(name) for name in windows]
+    )
+    return _every_day(per_day, list(windows), keep=False)
+
+
+def _every_day(rows: DataFrame, names: Sequence[str], keep: bool) -> DataFrame:
+    """``rows``, one per day, up to the last day that is ``_seen``, with a row for each day between them.
+
+    A day between has the values of the day before it if ``keep``, else 0.  The rows are as many as the calendar has days.
+    """
+    in_order = Window.orderBy("day")
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = F.max(F.when(F.col("_seen"), F.col("day"))).over(whole)
+    placed = rows.withColumn("_next", F.lead("day").over(in_order)).withColumn("_last", last).filter(F.col("day") <= F.col("_last"))
+    end = F.coalesce(F.least(F.date_sub("_next", 1), F.col("_last")), F.col("_last"))
+    between = placed.withColumn("_first", F.col("day")).withColumn("day", F.explode(F.sequence("day", end)))
+    value = lambda n: F.col(n) if keep else F.when(F.col("day") == F.col("_first"), F.col(n)).otherwise(0)
+    return between.select("day", *[value(n).cast("bigint").alias(n) for n in names])
+
+
+def active_users_by_day(events: DataFrame, user: str, day: Column, windows: Mapping[str, int]) -> DataFrame:
+    """:func:`active_users_series` for users of any type, without bitmaps.
+
+    A user counts in a window of ``n`` days from each of its days on, until ``n`` days or its next day.  These stretches
+    become a plus and a minus on their edges, which are summed per day on the map side; what is then added up from day to
+    day has one row per day of the calendar.
+    """
+    days = events.select(F.col(user).alias("_user"), day.alias("day")).filter("_user is not null and day is not null").distinct()
+    gap = F.datediff(F.lead("day").over(Window.partitionBy("_user").orderBy("day")), F.col("day"))
+    gaps = days.select("day", gap.alias("_gap"))
+    names = list(windows)
+    zero = F.lit(0)
+    starts = F.struct(F.col("day").alias("day"), F.lit(True).alias("seen"), *[F.lit(1).alias(n) for n in names])
+    ends = [
+        F.struct(
+            F.date_add("day", F.coalesce(F.least(F.lit(windows[n]), F.col("_gap")), F.lit(windows[n]))).alias("day"),
+            F.lit(False).alias("seen"),
+            *[(F.lit(-1) if m == n else zero).alias(m) for m in names],
+        )
+        for n in names
+    ]
+    changes = gaps.select(F.inline(F.array(starts, *ends))).groupBy("day").agg(
+        F.bool_or("seen").alias("_seen"), *[F.sum(n).alias(n) for n in names]
+    )
+    until_now = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = changes.select("day", "_seen", *[F.sum(n).over(until_now).alias(n) for n in names])
+    return _every_day(totals, names, keep=True)
+
+
 def completion_rate(df: DataFrame, by: Sequence[str], done: Column, total: Column, at_least: float = 0.9) -> DataFrame:
     """Share of rows in which ``done`` is at least that part of ``total``."""
     complete = F.when(total > 0, F.when(done >= total * at_least, 1).otherwise(0))

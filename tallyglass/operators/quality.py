@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyglass.functions.skew import HOT_ROWS, time_chunks
 from tallyglass.session import fresh_path
 
 
@@ -21,7 +22,7 @@ def completeness(
     per day and key.
     """
     daily = events.groupBy(*by, day.alias("day")).agg(F.count(F.lit(1)).alias("_rows")).filter("day is not null")
-    until = F.lit(as_of).cast("date") if as_of is not None else F.lit(daily.agg(F.max("day")).first()[0])
+    until = None if as_of is None else F.lit(as_of).cast("date")
     return _against_trailing(daily, by, "day", until, F.expr("interval 1 day"), trailing, at_least)
 
 
@@ -34,9 +35,16 @@ def completeness_by_hour(
     return _against_trailing(hourly.filter("hour is not null"), by, "hour", until, F.expr("interval 1 hour"), trailing, at_least)
 
 
-def _against_trailing(counts: DataFrame, by, unit: str, until: Column, step: Column, trailing: int, at_least: float) -> DataFrame:
-    counts = counts.filter(F.col(unit) <= until)
-    calendar = counts.groupBy(*by).agg(F.min(unit).alias("_first")).select(
+def _against_trailing(
+    counts: DataFrame, by, unit: str, until: Column | None, step: Column, trailing: int, at_least: float
+) -> DataFrame:
+    # first and newest as structs with the count, so that all three readers of the counts share one exchange
+    dated = F.struct(unit, "_rows")
+    if until is None:
+        until = counts.agg(F.max(dated)).scalar().getField(unit)
+    else:
+        counts = counts.filter(F.col(unit) <= until)
+    calendar = counts.groupBy(*by).agg(F.min(dated).getField(unit).alias("_first")).select(
         *by, F.explode(F.sequence("_first", until, step)).alias(unit), F.lit(0).cast("bigint").alias("_rows")
     )
     filled = counts.unionByName(calendar).groupBy(*by, unit).agg(F.sum("_rows").alias("row_count"))
@@ -53,6 +61,47 @@ def freshness(events: DataFrame, by: Sequence[str], ts: str, as_of, max_days: in
     return newest.withColumn("age_days", age).withColumn("is_stale", F.col("age_days") > max_days)
 
 
+def record_schemas(records: DataFrame, day: Column, text: str) -> DataFrame:
+    """Fields of JSON records per day: ``day``, ``field``, its type over all the day's records, and how many have it.
+
+    Types are those of the values: whole numbers ``BIGINT``, others ``DECIMAL`` or ``DOUBLE`` without their size, a mix
+    ``VARIANT``, nested records with their own fields.  A text that is no JSON object has no fields; a day without any has
+    one row with a NULL field.  One aggregate, combined on the map side.
+    """
+    parsed = records.select(day.alias("day"), F.try_parse_json(text).alias("_record")).filter("day is not null")
+    is_object = F.schema_of_variant("_record").startswith("OBJECT")
+    objects = parsed.withColumn("_record", F.when(is_object, F.col("_record")))
+    fields = objects.lateralJoin(records.sparkSession.tvf.variant_explode_outer(F.col("_record").outer()))
+    kind = F.regexp_replace(F.schema_of_variant_agg("value"), r"DECIMAL\(\d+,\d+\)", "DECIMAL")
+    return fields.groupBy("day", F.col("key").alias("field")).agg(
+        F.when(F.col("field").isNotNull(), kind).alias("type"), F.count(F.lit(1)).alias("row_count")
+    )
+
+
+def record_drift(records: DataFrame, day: Column, text: str) -> DataFrame:
+    """Fields of JSON records per day against the first day: ``drift`` is ``added``, ``missing``, ``type`` or NULL.
+
+    A row per day and field of that day or of the first one: ``base_type``, ``found_type`` and the day's records that have
+    the field.  What is compared has one row per day and field; the first day and its fields are subqueries of it.
+    """
+    found = record_schemas(records, day, text)
+    # whole rows everywhere, so that all readers share the aggregate's exchange
+    whole = F.struct("day", "field", "type", "row_count")
+    first = found.agg(F.min(whole)).scalar().getField("day")
+    of_first = F.when((F.col("day") == first) & F.col("field").isNotNull(), F.struct("field", F.col("type").alias("base_type"), "row_count"))
+    base = found.agg(F.collect_list(of_first)).scalar()
+    days = found.groupBy("day").agg(F.max(whole).alias("_any")).filter("_any is not null")
+    wanted = days.select("day", F.inline(base)).drop("row_count")
+    both = wanted.join(found.withColumnRenamed("type", "found_type"), ["day", "field"], "full").filter("field is not null")
+    drift = (
+        F.when(F.col("base_type").isNull(), "added")
+        .when(F.col("found_type").isNull(), "missing")
+        .when(F.col("base_type") != F.col("found_type"), "type")
+    )
+    rows = F.coalesce("row_count", F.lit(0).cast("bigint")).alias("row_count")
+    return both.select("day", "field", "base_type", "found_type", drift.alias("drift"), rows)
+
+
 def schema_drift(spark: SparkSession, found: T.StructType, expected: T.StructType) -> DataFrame:
     """Columns missing, added or of another type, by name."""
     have = {f.name: f.dataType.simpleString() for f in found.fields}
@@ -102,6 +151,33 @@ def without_fast_users(events: DataFrame, user: str, ts: str, unit: str, more_th
     return events.join(fast_users(events, user, ts, unit, more_than).select(user), user, "left_anti")
 
 
+def sliding_rates(events: DataFrame, user: str, ts: str, seconds: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Per user the most events in any ``seconds`` in a row, ``max_rate``; a NULL time counts in none.
+
+    Events of one instant are counted first, so a burst reaches its window as one row per microsecond, and a hot user's
+    windows run in chunks of time.
+    """
+    reach = seconds * 1_000_000
+    timed = events.select(user, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at")).filter("_at is not null")
+    instants = timed.groupBy(user, "_at").agg(F.count(F.lit(1)).alias("_n"))
+    chunks = time_chunks(instants, user, "_at", before=reach, threshold=hot_rows)
+    frame = Window.partitionBy(user, "_chunk").orderBy("_at").rangeBetween(1 - reach, 0)
+    rates = chunks.withColumn("_rate", F.sum("_n").over(frame)).filter("_own")
+    return rates.groupBy(user).agg(F.max("_rate").alias("max_rate"))
+
+
+def fast_users_sliding(
+    events: DataFrame, user: str, ts: str, seconds: int, more_than: int, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Users with more than ``more_than`` events in some ``seconds`` in a row, across the edges of calendar units too."""
+    return sliding_rates(events, user, ts, seconds, hot_rows).filter(F.col("max_rate") > more_than)
+
+
+def without_fast_users_sliding(events: DataFrame, user: str, ts: str, seconds: int, more_than: int) -> DataFrame:
+    """Events of the users :func:`fast_users_sliding` does not list."""
+    return events.join(fast_users_sliding(events, user, ts, seconds, more_than).select(user), user, "left_anti")
+
+
 def unknown_names(events: DataFrame, name: str, known: Sequence[str] | DataFrame) -> DataFrame:
     """Names in use that are not known, with their rows.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions.skew import broadcast_checked
 from tallyglass.operators.bucketed import (
     average_per_game,
-    bucketed_fact_join,
+    kept_fact_join,
     most_played,
     top_avg_per_game,
     top_filtered_sum,
@@ -18,7 +21,9 @@ from tallyglass.operators.windows import longest_streak, rolling_sum_max, rollin
 from tallyglass.plans.fact_queries import GAME_DETAILS, UNIQUE_DETAILS, unique_details
 from tallyglass.plans.registry import query
 from tallyglass.plans.warehouse import CUBE_LABELS, STRETCH_GAMES
+from tallyglass.session import fresh_path
 from tallyglass.sources.bindings import Tables
+from tallyglass.sources.tables import files_mark, keep_bucketed
 
 MATCHES = """matches AS (
   SELECT o_orderkey AS match_id, o_orderpriority AS playlist_id, CAST(o_custkey % 25 AS INTEGER) AS mapid FROM orders)"""
@@ -31,6 +36,40 @@ match_medals AS (
   FROM game_details GROUP BY game_id, team_id, player_id)"""
 
 
+def kept(t: Tables, name: str, build: Callable[[], DataFrame], on: list[str], n_buckets: int = 16) -> DataFrame:
+    """A bucketed table of the folder's facts: written when first asked for, read in place from then on.
+
+    Its name carries a mark of the folder's files, so changed files get a table of their own.
+    """
+    mark = files_mark(t.spark, [f"{t.sf_dir}/{source}.parquet" for source in ("orders", "lineitem")])
+    table = f"{name}_{mark}_{n_buckets}"
+    if t.spark.catalog.tableExists(table):
+        return t.spark.table(table)
+    return keep_bucketed(build(), table, n_buckets, on, path=fresh_path(t.spark, name))
+
+
+def match_tables(t: Tables) -> list[DataFrame]:
+    """Matches, and players and medals per match, kept bucketed by match."""
+
+    def details():
+        return t.match_details().groupBy("match_id").agg(F.count(F.lit(1)).alias("players"), F.sum("kills").alias("kills"))
+
+    def medals():
+        return t.match_medals().groupBy("match_id").agg(F.sum("medal_count").alias("medal_count"))
+
+    on = ["match_id"]
+    return [kept(t, "matches", t.matches, on), kept(t, "match_details", details, on), kept(t, "match_medals", medals, on)]
+
+
+def player_tables(t: Tables) -> list[DataFrame]:
+    """Facts per match and player, kept bucketed by both; the match's columns are stored with the first fact."""
+    on = ["match_id", "player_id"]
+    return [
+        kept(t, "player_details", lambda: t.match_details().join(t.matches(), "match_id"), on),
+        kept(t, "player_medals", t.match_medals, on),
+    ]
+
+
 @query(
     "bucketed_fact_join",
     f"""WITH {FACTS},
@@ -40,10 +79,7 @@ match_medals AS (
     FROM matches JOIN details USING (match_id) JOIN medals USING (match_id) JOIN nation ON n_nationkey = mapid""",
 )
 def q_bucketed(t: Tables):
-    details = t.match_details().groupBy("match_id").agg(F.count(F.lit(1)).alias("players"), F.sum("kills").alias("kills"))
-    medals = t.match_medals().groupBy("match_id").agg(F.sum("medal_count").alias("medal_count"))
-    tables = {"matches": t.matches(), "match_details": details, "match_medals": medals}
-    return bucketed_fact_join(tables, ["match_id"], dims=[(t.maps(), "mapid")])
+    return kept_fact_join(match_tables(t), ["match_id"], dims=[(t.maps(), "mapid")])
 
 
 @query(
@@ -55,10 +91,22 @@ def q_bucketed(t: Tables):
     JOIN part p ON p.p_partkey = g.medal_id JOIN nation n ON n.n_nationkey = m.mapid""",
 )
 def q_bucketed_players(t: Tables):
-    """Facts per match and player; the match's columns are stored with the first fact."""
-    tables = {"player_details": t.match_details().join(t.matches(), "match_id"), "player_medals": t.match_medals()}
-    dims = [(t.medals(), "medal_id"), (t.maps(), "mapid")]
-    return bucketed_fact_join(tables, ["match_id", "player_id"], dims=dims)
+    return kept_fact_join(player_tables(t), ["match_id", "player_id"], dims=[(t.medals(), "medal_id"), (t.maps(), "mapid")])
+
+
+@query(
+    "bucketed_match_lookup",
+    f"""WITH {FACTS},
+    wanted AS (SELECT max(match_id) AS match_id FROM matches)
+    SELECT match_id, playlist_id, mapid, CAST(count(*) AS BIGINT) AS players, CAST(sum(kills) AS BIGINT) AS kills
+    FROM matches JOIN match_details USING (match_id) JOIN wanted USING (match_id) GROUP BY ALL""",
+)
+def q_lookup(t: Tables):
+    """The last match from the kept tables: of each, one bucket is read."""
+    newest = t.matches().agg(F.max("match_id")).first()[0]
+    matches, details, _ = match_tables(t)
+    picked = [table.filter(F.col("match_id") == newest) for table in (matches, details)]
+    return kept_fact_join(picked, ["match_id"]).select("match_id", "playlist_id", "mapid", "players", "kills")
 
 
 @query(

@@ -9,6 +9,7 @@ from tallyglass.plans.registry import query
 from tallyglass.session import fresh_path
 from tallyglass.sources.bindings import Tables
 from tallyglass.sources.streams import parquet_stream, write_parquet_stream
+from tallyglass.streaming.late import account, balance, run_counted
 from tallyglass.streaming.sessionize import sessionize_stream
 from tallyglass.streaming.traffic import run_from_files
 
@@ -102,6 +103,50 @@ def q_traffic_late(t: Tables):
     return _traffic_job(t, t.events.filter(~late & ~today), t.events.filter(~late & today), t.events.filter(late))
 
 
+ARRIVALS = f"""arrivals AS (SELECT CASE WHEN {LATE} THEN 2 WHEN CAST(ts AS DATE) = (SELECT CAST(max(ts) AS DATE) FROM events) THEN 1 ELSE 0 END AS batch_id,
+    date_trunc('milliseconds', ts) AS moment FROM events)"""
+
+
+def _counted(t: Tables) -> str:
+    """The counted traffic job run after each of the three arrivals of :func:`q_traffic_late`; its folder."""
+    newest = t.events.agg(F.max("ts")).first()[0]
+    late = (F.col("event_id") % 10 == 0) & (F.col("ts") < F.lit(newest) - F.expr("interval 5 days"))
+    today = F.to_date("ts") == F.lit(newest).cast("date")
+    source, folder = fresh_path(t.spark, "traffic-in"), fresh_path(t.spark, "traffic-counted")
+    for part in (~late & ~today, ~late & today, late):
+        traffic_lines(t.events.filter(part)).write.mode("append").text(source)
+        run_counted(t.spark, source, folder, SIX_HOURS)
+    return folder
+
+
+@query(
+    "traffic_account",
+    f"""WITH {ARRIVALS},
+    batches AS (SELECT batch_id, count(*) AS events_read, max(moment) AS last FROM arrivals GROUP BY batch_id),
+    timed AS (SELECT *, max(last) OVER (ORDER BY batch_id) AS newest,
+              max(last) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 15 SECOND AS watermark FROM batches),
+    late AS (SELECT batch_id, count(*) AS n FROM arrivals JOIN timed USING (batch_id) WHERE moment + INTERVAL {SIX_HOURS} SECOND <= watermark GROUP BY batch_id)
+    SELECT CAST(batch_id AS BIGINT) AS batch_id, events_read, coalesce(n, 0) AS late_events, CAST(0 AS BIGINT) AS untimed_events, watermark, newest
+    FROM timed LEFT JOIN late USING (batch_id)""",
+)
+def q_account(t: Tables):
+    """What each batch of the counted job read, and how much of it came too late."""
+    rows = account(t.spark, _counted(t))
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("watermark", "newest")})
+
+
+@query(
+    "traffic_balance",
+    f"""WITH closed AS ({traffic_sql(f'NOT ({LATE})', "date_trunc('milliseconds', max(ts))")}),
+    totals AS (SELECT count(*) AS events_read, count(*) FILTER (WHERE {LATE}) AS late_events, CAST(0 AS BIGINT) AS untimed_events,
+               (SELECT CAST(sum(num_hits) AS BIGINT) FROM closed) AS closed_hits FROM events)
+    SELECT *, events_read - late_events - closed_hits AS open_hits, true AS agrees FROM totals""",
+)
+def q_balance(t: Tables):
+    """Events read against late ones, hits of closed sessions and hits of those the state store still holds."""
+    return balance(t.spark, _counted(t))
+
+
 @query(
     "session_avg",
     f"""WITH {sessions_sql(SIX_HOURS)}

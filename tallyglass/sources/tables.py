@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Sequence
 
@@ -164,6 +165,48 @@ def write_bucketed(
     return stored
 
 
+def keep_bucketed(
+    df: DataFrame, table: str, n_buckets: int, keys: Sequence[str], sort_by: Sequence[str] | None = None, path: str | None = None
+) -> DataFrame:
+    """``df`` as a bucketed, sorted table that stays in the catalog; a table that is there already is left as it is.
+
+    Rows are sent to their bucket's task first, so each bucket is one file.  The entry appears once all files are written.
+    ``path`` keeps the files outside the warehouse folder.
+    """
+    spark = df.sparkSession
+    if not spark.catalog.tableExists(table):
+        writer = df.repartition(n_buckets, *keys).write.format("parquet").bucketBy(n_buckets, *keys).sortBy(*(sort_by or keys))
+        (writer.option("path", path) if path else writer).saveAsTable(table)
+    return spark.table(table)
+
+
+def bucketing_of(spark: SparkSession, table: str) -> tuple[int, list[str]]:
+    """Number of buckets and bucket columns of a catalog table, in order."""
+    found = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+    if "Num Buckets" not in found:
+        raise ValueError(f"{table} is not bucketed")
+    columns = found["Bucket Columns"].strip("[]").split(",")
+    return int(found["Num Buckets"]), [c.strip().strip("`") for c in columns]
+
+
+def append_bucketed(df: DataFrame, table: str) -> None:
+    """Append rows to a bucketed table, matching columns by name; each bucket gets one more file."""
+    n_buckets, keys = bucketing_of(df.sparkSession, table)
+    append_by_name(df.repartition(n_buckets, *keys), table)
+
+
+def files_mark(spark: SparkSession, paths: Sequence[str]) -> str:
+    """A short text that changes when the files under the paths do: a hash of their names, sizes and times."""
+    entries = []
+    for path in paths:
+        target, system = _file_system(spark, path)
+        files = system.listFiles(target, True)
+        while files.hasNext():
+            status = files.next()
+            entries.append(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(entries)).encode()).hexdigest()[:16]
+
+
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``df``, or an error if a key occurs more than once."""
     repeated = df.groupBy(*keys).count().filter(F.col("count") > 1).limit(1).collect()

@@ -1,0 +1,252 @@
+"""Funnels, sliding rates, active-user series, drift of records, interval joins, layouts: against plain versions, and their plans."""
+
+import random
+from datetime import date, datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyglass.functions.skew import time_chunks
+from tallyglass.operators import funnel, layouts, metrics, quality, ranges
+from tests.conftest import rows_of
+
+START = datetime(2024, 1, 1)
+STEPS = ["view", "click", "buy"]
+
+
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def random_events(spark, n, users, seed, span=20_000, kinds=(*STEPS, "other")):
+    r = random.Random(seed)
+    rows = [(r.choice(users), r.choice(kinds), r.randrange(span)) for _ in range(n)]
+    rows += [(None, "view", 5), ("u0", None, 6), ("u0", "view", None), *rows[:20]]
+    frame = spark.createDataFrame([(u, k, None if s is None else START + timedelta(seconds=s)) for u, k, s in rows], "user string, kind string, ts timestamp_ntz")
+    return rows, frame
+
+
+def brute_depths(rows, limit):
+    out = {}
+    for user, kind, at in rows:
+        if user is None or at is None or kind != STEPS[0]:
+            continue
+        reached, depth = {at}, 1
+        for step in STEPS[1:]:
+            reached = {t for u, k, t in rows if u == user and k == step and t is not None and any(a < t <= a + limit for a in reached)}
+            depth += bool(reached)
+            if not reached:
+                break
+        out[user, at] = depth
+    return out
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 40, 7])
+def test_funnel_depths_equal_brute_force_with_hot_users_in_chunks(spark, hot_rows):
+    rows, events = random_events(spark, 700, ["u0"] * 5 + ["u1", "u2", "u3"], 4)
+    kinds = {s: F.col("kind") == s for s in STEPS}
+    found = funnel.step_depths(events, "user", "ts", kinds, 90, hot_rows).collect()
+    start = int((START - datetime(1970, 1, 1)).total_seconds())
+    assert {(r["user"], r["_at"] // 10**6 - start): r["depth"] for r in found} == brute_depths(rows, 90)
+    assert len(found) == len(brute_depths(rows, 90))
+
+
+def test_funnel_counts_and_rate(spark):
+    rows = [("a", "view", 0), ("a", "click", 10), ("a", "buy", 20), ("b", "view", 0), ("b", "click", 100), ("c", "click", 0), ("c", "view", 5), ("c", "buy", 6)]
+    events = spark.createDataFrame([(u, k, START + timedelta(seconds=s)) for u, k, s in rows], "user string, kind string, ts timestamp_ntz")
+    kinds = {s: F.col("kind") == s for s in STEPS}
+    (row,) = funnel.ordered_funnel(events, "user", "ts", kinds, 60).collect()
+    assert (row["view_users"], row["click_users"], row["buy_users"], row["rate"]) == (3, 1, 1, 1 / 3)
+    (row,) = funnel.ordered_funnel(events, "user", "ts", {"click": kinds["click"], "view": kinds["view"]}, 60).collect()
+    assert (row["click_users"], row["view_users"]) == (3, 1)
+    by_day = funnel.ordered_funnel(events, "user", "ts", kinds, 60, F.to_date("ts"))
+    assert by_day.columns == ["period", "view_users", "click_users", "buy_users", "rate"] and by_day.count() == 1
+    assert funnel.ordered_funnel(events.limit(0), "user", "ts", kinds, 60, F.to_date("ts")).collect() == []
+
+
+def test_funnel_sorts_once(spark):
+    _, events = random_events(spark, 50, ["u0", "u1"], 1)
+    kinds = {s: F.col("kind") == s for s in STEPS}
+    plan = plan_of(funnel.step_depths(events, "user", "ts", kinds, 60))
+    final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert final.count("Window [") == 2 and final.count("hashpartitioning(user") <= 3
+
+
+def test_time_chunks_hold_every_row_once_and_the_reach(spark):
+    rows = [("hot", i * 7 % 1000) for i in range(1000)] + [("cold", i) for i in range(20)]
+    frame = spark.createDataFrame(rows, "k string, at bigint")
+    cut = time_chunks(frame, "k", "at", before=30, after=12, threshold=100).collect()
+    own = sorted((r["k"], r["at"]) for r in cut if r["_own"])
+    assert own == sorted(rows)
+    chunks = {}
+    for r in cut:
+        chunks.setdefault((r["k"], r["_chunk"]), set()).add(r["at"])
+    assert sum(k == "hot" for k, _ in chunks) == 10 and sum(k == "cold" for k, _ in chunks) == 1
+    for r in cut:
+        if r["_own"] and r["k"] == "hot":
+            needed = {a for _, a in rows[:1000] if r["at"] - 30 <= a <= r["at"] + 12}
+            assert needed <= chunks["hot", r["_chunk"]]
+
+
+def test_a_burst_across_the_edge_of_a_minute_is_seen(spark):
+    edge = START + timedelta(seconds=60)
+    times = [edge + timedelta(seconds=s) for s in (-20, -10, -1, 0, 10, 39)] + [edge + timedelta(hours=1)]
+    events = spark.createDataFrame([("u", t) for t in times] + [("v", START), (None, START), ("w", None)], "user string, ts timestamp_ntz")
+    assert rows_of(quality.fast_users(events, "user", "ts", "minute", 4)) == []
+    assert rows_of(quality.fast_users_sliding(events, "user", "ts", 60, 4)) == [("u", 6)]
+    # a second that is just outside the frame
+    assert rows_of(quality.fast_users_sliding(events, "user", "ts", 59, 5)) == []
+    kept = quality.without_fast_users_sliding(events, "user", "ts", 60, 4)
+    assert {r["user"] for r in kept.collect()} == {"v", None, "w"}
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 30, 3])
+def test_sliding_rates_equal_brute_force(spark, hot_rows):
+    rows, events = random_events(spark, 500, ["u0"] * 6 + ["u1", "u2"], 8, span=3000)
+    timed = {}
+    for user, _, at in rows:
+        if at is not None:
+            timed.setdefault(user, []).append(at)
+    wanted = {u: max(sum(a - 60 < b <= a for b in ats) for a in ats) for u, ats in timed.items()}
+    found = quality.sliding_rates(events, "user", "ts", 60, hot_rows).collect()
+    assert {r["user"]: r["max_rate"] for r in found} == wanted
+
+
+def test_active_users_of_every_day(spark):
+    r = random.Random(2)
+    rows = [(r.choice([-5, 0, 7, 40_000, 40_001, 99_999]) , date(2024, 1, 1) + timedelta(days=r.choice([0, 1, 2, 5, 6, 20, 45]))) for _ in range(25)]
+    events = spark.createDataFrame([*rows, *rows[:5], (None, date(2024, 1, 3)), (3, None)], "user int, day date")
+    windows = {"d": 1, "w": 7, "m": 30}
+    first, last = min(d for _, d in rows), max(d for _, d in rows)
+    wanted = []
+    for i in range((last - first).days + 1):
+        today = first + timedelta(days=i)
+        wanted.append((today, *[len({u for u, d in rows if today - timedelta(days=n) < d <= today}) for n in windows.values()]))
+    bitmaps = metrics.daily_user_bitmaps(events, "user", F.col("day"))
+    assert sorted(tuple(x) for x in metrics.active_users_series(bitmaps, windows).collect()) == wanted
+    # bitmaps of two halves of the events merge to the same
+    halves = [metrics.daily_user_bitmaps(events.filter(F.col("day") > "2024-01-02"), "user", F.col("day")), metrics.daily_user_bitmaps(events.filter(F.col("day") <= "2024-01-05"), "user", F.col("day"))]
+    assert sorted(tuple(x) for x in metrics.active_users_series(halves[0].unionByName(halves[1]), windows).collect()) == wanted
+    assert sorted(tuple(x) for x in metrics.active_users_by_day(events, "user", F.col("day"), windows).collect()) == wanted
+    for none in (metrics.active_users_series(bitmaps.limit(0), windows), metrics.active_users_by_day(events.limit(0), "user", F.col("day"), windows)):
+        assert none.collect() == []
+
+
+def scans_run(df):
+    """Scans that the final plan ran, subqueries included: stages that are used again count once."""
+    df.collect()
+    plan, found, todo = df._jdf.queryExecution().executedPlan(), 0, []
+    todo.append(plan)
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            if node.plan().getClass().getSimpleName() != "ReusedExchangeExec":
+                todo.append(node.plan())
+            continue
+        if name in ("ReusedExchangeExec", "ReusedSubqueryExec"):
+            continue
+        found += name == "FileSourceScanExec"
+        for children in (node.children(), node.subqueries()):
+            todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_each_of_these_scans_its_events_once(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    day = F.to_date("ts")
+    windows = {"w": 7, "m": 30}
+    assert scans_run(metrics.active_users_series(metrics.daily_user_bitmaps(events, "user_id", day), windows)) == 1
+    assert scans_run(metrics.active_users_by_day(events, "user_id", day, windows)) == 1
+    assert scans_run(quality.completeness(events, ["event_type"], day)) == 1
+    assert scans_run(quality.record_drift(events, day, "props")) == 1
+
+
+def test_drift_of_records(spark):
+    def record(day, text):
+        return (date(2024, 1, day), text)
+
+    rows = [
+        record(1, '{"a": 1, "b": "x", "c": {"d": 1}}'),
+        record(1, '{"a": 2, "b": "y", "c": {"d": 2}}'),
+        record(2, '{"a": 1.5, "b": "x", "c": {"d": 2}}'),
+        record(3, '{"a": "1", "c": {"d": true}, "e": null}'),
+        record(3, '{"a": 1, "c": {"d": true}, "e": [1]}'),
+        record(4, "no json"),
+        record(4, None),
+        record(4, "[1, 2]"),
+        (None, '{"z": 1}'),
+    ]
+    frame = spark.createDataFrame(rows, "day date, text string")
+    found = {(r["day"].day, r["field"]): tuple(r)[2:] for r in quality.record_drift(frame, F.col("day"), "text").collect()}
+    nested = "OBJECT<d: BIGINT>"
+    assert found == {
+        (1, "a"): ("BIGINT", "BIGINT", None, 2),
+        (1, "b"): ("STRING", "STRING", None, 2),
+        (1, "c"): (nested, nested, None, 2),
+        (2, "a"): ("BIGINT", "DECIMAL", "type", 1),
+        (2, "b"): ("STRING", "STRING", None, 1),
+        (2, "c"): (nested, nested, None, 1),
+        (3, "a"): ("BIGINT", "VARIANT", "type", 2),
+        (3, "b"): ("STRING", None, "missing", 0),
+        (3, "c"): (nested, "OBJECT<d: BOOLEAN>", "type", 2),
+        (3, "e"): (None, "ARRAY<BIGINT>", "added", 2),
+        (4, "a"): ("BIGINT", None, "missing", 0),
+        (4, "b"): ("STRING", None, "missing", 0),
+        (4, "c"): (nested, None, "missing", 0),
+    }
+    assert quality.record_drift(frame.limit(0), F.col("day"), "text").collect() == []
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 10])
+def test_interval_join_equals_all_pairs(spark, hot_rows):
+    r = random.Random(6)
+    points = [(i, r.choice([5.0, r.uniform(-50, 50)]), r.choice("ab")) for i in range(120)] + [(999, None, "a")]
+    spans = [(i, a, a + r.choice([0, 1, 30]), r.choice("ab")) for i, a in enumerate(r.uniform(-70, 70) for _ in range(60))] + [(77, None, 3.0, "a"), (78, 1.0, None, "b")]
+    left = spark.createDataFrame(points, "p int, x double, k string")
+    right = spark.createDataFrame(spans, "s int, low double, high double, k string")
+
+    def pairs(df):
+        return sorted((row["p"], row["s"]) for row in df.collect())
+
+    def inside(x, low, high):
+        return None not in (x, low, high) and low <= x < high
+
+    keyed = ranges.interval_join(left, right, "x", "low", "high", 10, ["k"], hot_rows)
+    assert pairs(keyed) == sorted((p, s) for p, x, k in points for s, a, b, j in spans if k == j and inside(x, a, b))
+    free = ranges.interval_join(left.drop("k"), right.drop("k"), "x", "low", "high", 4, hot_rows=hot_rows)
+    assert pairs(free) == sorted((p, s) for p, x, _ in points for s, a, b, _ in spans if inside(x, a, b))
+    above = ranges.interval_join(left.drop("k"), right.drop("k"), "x", "low", None, 25, hot_rows=hot_rows)
+    assert pairs(above) == sorted((p, s) for p, x, _ in points for s, a, _, _ in spans if None not in (x, a) and a <= x)
+    below = ranges.interval_join(left.drop("k"), right.drop("k"), "x", None, "high", 25, hot_rows=hot_rows)
+    assert pairs(below) == sorted((p, s) for p, x, _ in points for s, _, b, _ in spans if None not in (x, b) and x < b)
+
+
+def test_interval_join_has_no_nested_loop_over_rows(spark):
+    points = spark.range(1000).select(F.col("id").alias("p"), (F.col("id") % 97).alias("x"))
+    spans = spark.range(200).select(F.col("id").alias("s"), (F.col("id") % 90).alias("low"), (F.col("id") % 90 + 5).alias("high"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ranges.interval_join(points, spans, "x", "low", "high", 5, hot_rows=100)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "CartesianProduct" not in plan and "SortMergeJoin [_bin" in plan
+    assert "NestedLoop" not in plan
+
+
+def test_z_order_prunes_on_both_columns(spark):
+    r = random.Random(3)
+    frame = spark.createDataFrame([(r.randrange(10_000), r.randrange(10_000), None if i % 50 == 0 else i) for i in range(4000)], "a int, b int, c int")
+    wanted = {"a": (3000, 3200), "b": (3000, 3200)}
+    plans = {"none": [], "linear": ["a", "b"], "z": [layouts.z_value(frame, ["a", "b"])]}
+    report = {(x["layout"], x["column_name"]): (x["files"], x["files_read"]) for x in layouts.layout_skipping(frame, plans, 16, wanted).collect()}
+    assert {f for f, _ in report.values()} == {16}
+    assert report["none", "a"][1] == 16 and report["linear", "a"][1] <= 2 and report["linear", "b"][1] == 16
+    assert report["z", "a"][1] <= 8 and report["z", "b"][1] <= 8
+    z = layouts.z_value(frame, ["c", "a"], bits=3)
+    low = frame.select("c", z.alias("z")).filter("c is null").agg(F.max(F.col("z").bitwiseAND(0b101010))).first()[0]
+    assert low == 0

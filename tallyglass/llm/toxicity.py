@@ -24,9 +24,10 @@ CUTOFF = 0.5
 BINS = 1 << 20
 #: Labelled rows, in order of a hash of the id, that the machine is fitted on at most.
 FIT_ROWS = 20_000
-#: Terms the machine knows at most, those that stand out most from the labels.
-TERMS = 4096
-LEAST_DOCS, LEAST_Z = 4, 5.0
+#: How far a term's share of positive rows is from that of all, in standard deviations, for the machine to know it.
+LEAST_Z = 5.0
+#: Rows of the usual share that are added to a term's own, where its weight comes from its counts alone.
+PRIOR_ROWS = 3.0
 FACTORS = 6
 EPOCHS, BATCH, RATE, DECAY = 40, 256, 0.08, 2e-4
 SEED = 20240502
@@ -140,8 +141,9 @@ def train(sets: list[np.ndarray], labels: np.ndarray, n_terms: int, seed: int =
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] = HELD_OUT) -> Machine:
     """A machine from the labelled rows whose id's remainder is not the held-out one.
 
-    Terms are chosen by counts over all of them; weights come from at most ``FIT_ROWS``.  Without a labelled row every
-    score is about one half.
+    Terms are chosen by counts over all of them, however rare or many: each hashed bin is one number at most.  Weights and
+    vectors come from at most ``FIT_ROWS`` rows; a term that is in none of these has the weight that its counts over all rows
+    give, so that rare terms count at every corpus size.  Without a labelled row every score is about one half.
     """
     modulus, remainder = held_out
     marked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -153,24 +155,30 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tupl
     share = (total["positive"] or 0) / max(1, total["n"])
     expected = F.col("n") * share
     z = F.abs(F.col("positive") - expected) / F.sqrt(expected * (1 - share) + 0.05)
-    chosen = (
-        _counts(rows).filter(F.col("n") >= LEAST_DOCS).select("term", z.alias("z")).filter(F.col("z") >= LEAST_Z)
-        .orderBy(F.desc("z"), "term").limit(TERMS).collect()
-    )
-    terms = np.sort(np.array([c["term"] for c in chosen], "u4"))
+    chosen = _counts(rows).filter(z >= LEAST_Z).collect()  # BINS rows at most
+    chosen.sort(key=lambda c: c["term"])
+    terms = np.array([c["term"] for c in chosen], "u4")
     empty = Machine(terms, 0.0, np.zeros(len(terms)), np.zeros((len(terms), FACTORS)))
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [empty.known(t).astype("<u2").tobytes() for t in batch.column(1).to_pylist()]
+            sets = [empty.known(t).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), batch.column(2)], names=["doc_id", "terms", "label"])
 
     sample = (
         rows.select("doc_id", "terms", "label").mapInArrow(reduced, "doc_id bigint, terms binary, label bigint")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).collect()
     )
-    sets = [np.frombuffer(r["terms"], "<u2").astype("i8") for r in sample]
-    return Machine(terms, *train(sets, np.array([r["label"] for r in sample], float), len(terms)))
+    sets = [np.frombuffer(r["terms"], "<u4").astype("i8") for r in sample]
+    bias, weights, vectors = train(sets, np.array([r["label"] for r in sample], float), len(terms))
+    unseen = np.ones(len(terms), bool)
+    if sets:
+        unseen[np.concatenate(sets)] = False
+    n, positive = (np.array([c[name] for c in chosen], float)[unseen] for name in ("n", "positive"))
+    usual = min(max(share, 1e-3), 1 - 1e-3)
+    weights[unseen] = np.log((positive + PRIOR_ROWS * usual) / (n - positive + PRIOR_ROWS * (1 - usual))) - np.log(usual / (1 - usual))
+    vectors[unseen] = 0
+    return Machine(terms, bias, weights, vectors)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = HELD_OUT, cutoff: float = CUTOFF) -> DataFrame:

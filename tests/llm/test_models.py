@@ -99,6 +99,22 @@ def test_toxicity_finds_insults_and_pairs(spark):
     assert np.mean([(s >= 0.5) == t for t, s in held]) > 0.95
 
 
+def test_a_rare_term_counts_though_the_fitted_rows_lack_it(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 150)
+    rows = [(i, odd.prose(i, 60) + " grimbold" * (i % 12 == 0), "s") for i in range(600)]
+    marks = [(i, 1, int(i % 12 == 0)) for i in range(600)]
+    rare = [i for i in range(600, 700) if zlib.crc32(str(i).encode()) % 5 != 0][:3]
+    held = next(i for i in range(700, 800) if zlib.crc32(str(i).encode()) % 5 == 0)
+    rows += [(i, odd.prose(i, 60) + " snarfle", "s") for i in (*rare, held)]
+    marks += [(i, 1, 1) for i in rare]
+    docs, labels = odd.documents(spark, rows), odd.labels(spark, marks)
+    found = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, labels).collect()}
+    clean = [found[i] for i in range(600) if i % 12]
+    assert found[held] > 0.5 and max(clean) < 0.5
+    machine = toxicity.fit(docs, labels)
+    assert zlib.crc32(b"snarfle") & (toxicity.BINS - 1) in machine.terms
+
+
 def test_toxicity_margin_is_the_sum_over_pairs():
     rng = np.random.default_rng(2)
     weights, vectors = rng.normal(size=10), rng.normal(size=(10, 3))

@@ -16,8 +16,8 @@ from tallyglass.llm.common import stored
 WORD = r"[^\x20\x09-\x0D]+"
 TOKEN = r"\p{L}+|\p{N}+|[^\p{L}\p{N}\s]+"
 BINS = 1 << 15
-#: Rows with a good label that make up the trusted side at most: 8 bytes each, so their ids can be broadcast.
-TRUSTED_ROWS = 100_000
+#: Trusted ids that are broadcast at most, of 8 bytes each; more of them meet the documents by a merge join.
+BROADCAST_IDS = 500_000
 #: Added to every bin's count on both sides.
 SMOOTHING = 1.0
 #: A document below this mean log ratio is rejected.
@@ -110,16 +110,17 @@ def _with_bins(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__bins", pairs).drop("__h")
 
 
-def fit_ratio(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def fit_ratio(docs: DataFrame, labels: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """Stored one-row table: ``ratio``, log(p_trusted / p_raw) for each bin in order.
 
-    The raw side counts all documents.  The trusted side counts the labelled-good ones, at most ``trusted_rows`` of them,
-    in order of a hash of the id.  Without any trusted n-gram every ratio is 0.
+    The raw side counts all documents, the trusted side all that are labelled good.  Without any trusted n-gram every ratio
+    is 0.
     """
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("good_id")).distinct()
-    good = good.orderBy(F.xxhash64("good_id"), "good_id").limit(trusted_rows)
+    few = good.limit(broadcast_ids + 1).count() <= broadcast_ids
+    good = F.broadcast(good) if few else good.hint("merge")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    flagged = rows.join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left").select(
+    flagged = rows.join(good, F.col("doc_id") == F.col("good_id"), "left").select(
         F.col("good_id").isNotNull().alias("trusted"), "text"
     )
     # Outer, as else Spark infers a filter on the array's size and works out the nested arrays again for it, word by word.

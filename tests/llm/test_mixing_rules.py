@@ -186,3 +186,9 @@ def test_native_plans(spark):
     for df in (mixing.mix_report(docs), mixing.mix(docs), rules.quality_rules(docs, labels)):
         plan = df._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)
+
+
+def test_trusted_ids_beyond_the_broadcast_give_the_same_ratios(spark):
+    docs = odd.documents(spark).select("doc_id", "text")
+    few, many = (rules.fit_ratio(docs, odd.labels(spark), broadcast_ids=n).first()["ratio"] for n in (1000, 2))
+    assert few == many and any(x != 0 for x in few)

@@ -22,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK_WORDS = 64
+#: Words of a block for texts that are packed afterwards: some 700 tokens, so that a window holds few pieces.
+TEXT_BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
 SLOTS_PER_TASK = 100_000
 #: Ids in a run, and runs in a group, for running sums in three levels.
@@ -200,15 +202,22 @@ def mix_report(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, from_files: bool = False) -> DataFrame:
     """The mix, with the columns of ``docs``, one partition per output shard and in order of position.
 
     A row is the words of a document in one slot's block, with the white space before each word and after the last one of
     the document.  Documents without words, and those that no slot takes, are left out.
+
+    A row is known by a number, for which ``docs`` is stored first.  With ``from_files``, ``docs`` is a plain read of files
+    (no join, union or explode after it), whose rows are known by their file and place in it, and no copy is stored.
     """
     # the documents' columns travel inside one struct, so none clashes with a name used here
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.lit(0).alias("text")).alias("held")
-    numbered = stored(docs.select(F.monotonically_increasing_id().alias("number"), "doc_id", "text", "source", held), "to-mix")
+    if from_files:
+        number = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+        numbered = docs.select(number.alias("number"), "doc_id", "text", "source", held)
+    else:
+        numbered = stored(docs.select(F.monotonically_increasing_id().alias("number"), "doc_id", "text", "source", held), "to-mix")
     _, mixed, _ = mix_plan(numbered, block_words, F.col("number"))
     shards = (mixed.agg(F.max("shard")).first()[0] or 0) + 1
     # Of one document: three times its blocks at most, so as long as its text.

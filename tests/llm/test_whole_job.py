@@ -104,3 +104,17 @@ def test_secret_field_learns_from_rare_and_late_matches(spark, monkeypatch):
     found = {r["doc_id"]: r["n_model"] for r in secrets.secret_report(odd.documents(spark, rows)).collect()}
     assert found[2000] == 1
     assert not any(found[i] for i in range(300))
+
+
+def test_rows_known_by_file_and_place_mix_like_numbered_ones(spark):
+    docs = odd.documents(spark).repartition(3)
+    read = mixing.stored(docs, "plain")
+    mixed, numbered = mixing.mix(read, from_files=True), mixing.mix(docs)
+    assert mixed.columns == docs.columns
+
+    def words(df):
+        return Counter(w for r in df.collect() for w in odd.words_of(r["text"]))
+
+    given, taken = words(docs), words(mixed)
+    assert abs(taken.total() - words(numbered).total()) <= 2 * mixing.BLOCK_WORDS
+    assert all(n <= 3 * given[w] for w, n in taken.items())

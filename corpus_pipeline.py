@@ -27,9 +27,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to their target weights: documents repeated or cut by the blocks the mix takes."""
+    """Sources mixed to their target weights: documents repeated or cut by the blocks the mix takes.
+
+    ``docs`` is a plain read of the stage before's files.
+    """
     find_package(spark)
-    return mixing.mix(docs)
+    return mixing.mix(docs, mixing.TEXT_BLOCK_WORDS, from_files=True)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

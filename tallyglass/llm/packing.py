@@ -41,6 +41,17 @@ _SPLIT = re.compile(
 )
 
 
+def _byte_signs() -> dict[int, str]:
+    """The public byte-level alphabet: printable bytes stand for themselves, the others for the signs from 256 on, in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_SIGNS = _byte_signs()
+_SPACE_SIGN = _BYTE_SIGNS[0x20]
+
+
 class Encoder:
     """Ids of texts by a tokenizer file, with a bounded memory of word pieces.
 
@@ -54,6 +65,8 @@ class Encoder:
         # a task has one core; threads of its own cost more than they save
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        before = (self.tokenizer.normalizer, type(self.tokenizer.pre_tokenizer).__name__, type(self.tokenizer.model).__name__)
+        self.by_merges = before == (None, "ByteLevel", "BPE")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -70,17 +83,23 @@ class Encoder:
         gaps = [None in ids for ids in found]
         missing = {p for pieces, ids, gap in zip(split, found, gaps, strict=True) if gap for p, x in zip(pieces, ids, strict=True) if x is None}
         known.update((piece, older[piece]) for piece in missing.intersection(older))
-        new = list(missing.difference(older))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            # the fast form leaves out offsets, which nobody reads here
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[piece] = array("I", e.ids).tobytes()
+        for piece in missing.difference(older):
+            known[piece] = self._piece(piece)
         return [
             (b"".join(map(known.__getitem__, pieces)) if gap else b"".join(ids)) if p else self._whole(t)
             for t, p, pieces, ids, gap in zip(texts, plain, split, found, gaps, strict=True)
         ]
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece: by the merges alone where nothing but the split comes before them, which costs half as much."""
+        if not self.by_merges:
+            return self._whole(piece)
+        if piece.isascii() and piece.isprintable():
+            signs = piece.replace(" ", _SPACE_SIGN)
+        else:
+            signs = piece.encode().decode("latin-1").translate(_BYTE_SIGNS)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(signs)]).tobytes()
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

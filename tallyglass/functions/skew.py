@@ -15,6 +15,16 @@ from tallyglass.functions.columns import same_values
 
 HOT_ROWS = 500_000
 BROADCAST_ROWS = 500_000
+PART_ROWS = 250_000
+
+
+def parts_for(df: DataFrame, part_rows: int = PART_ROWS) -> int:
+    """Number of partitions with which a shuffle of ``df`` has about ``part_rows`` rows in each, and every core has one.
+
+    What a task holds then stays the same however large the input is.  ``df`` is
+    counted; a plain scan of Parquet files is counted from their footers.
+    """
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // part_rows))
 
 
 def hot_keys(

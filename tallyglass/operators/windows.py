@@ -18,9 +18,15 @@ from pyspark.sql import functions as F
 from tallyglass.functions.skew import HOT_ROWS, hot_keys, split_hot
 
 
-def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
     """Number the range partitions; a later chunk of a key holds later rows."""
-    return df.repartitionByRange(*keys, *order).withColumn("_chunk", F.spark_partition_id())
+    ranges = df.repartitionByRange(parts, *keys, *order) if parts else df.repartitionByRange(*keys, *order)
+    return _dealt(ranges.withColumn("_chunk", F.spark_partition_id()), [*keys, "_chunk"], parts)
+
+
+def _dealt(df: DataFrame, keys: Sequence[str], parts: int | None) -> DataFrame:
+    """``df`` in ``parts`` partitions by key, if given, for the window that follows."""
+    return df.repartition(parts, *keys) if parts else df
 
 
 def _so_far(keys: Sequence[str], order: Sequence[str]):
@@ -89,11 +95,14 @@ def rolling_sum_max(
     n: int,
     name: str,
     hot_rows: int = HOT_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Largest sum of ``value`` over any ``n`` consecutive rows, per key.
 
     Frames at a key's start hold fewer rows, as ``ROWS n-1 PRECEDING`` gives.
     ``order`` should be unique within a key and ``value`` an integer.
+    ``parts`` is the number of partitions of each shuffle of rows, e.g. from
+    :func:`parts_for`; without it the session decides.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
@@ -102,17 +111,20 @@ def rolling_sum_max(
     counted = F.count("_v") + F.count_if(F.col("_v").isNull())
     cold, hot = split_hot(rows, hot_keys(rows, keys, hot_rows, rows=counted), keys)
     frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - n, 0)
-    of_cold = cold.withColumn("_sum", F.sum("_v").over(frame)).groupBy(*keys).agg(F.max("_sum").alias(name))
-    return of_cold.unionByName(_rolling_sum_max_chunked(hot, keys, order, n, name))
+    sums = _dealt(cold, keys, parts).withColumn("_sum", F.sum("_v").over(frame))
+    of_cold = sums.groupBy(*keys).agg(F.max("_sum").alias(name))
+    return of_cold.unionByName(_rolling_sum_max_chunked(hot, keys, order, n, name, parts))
 
 
-def _rolling_sum_max_chunked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, name: str) -> DataFrame:
+def _rolling_sum_max_chunked(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, name: str, parts: int | None = None
+) -> DataFrame:
     """A chunk passes on its first and last ``n - 1`` values for the frames that cross its borders."""
     in_chunk = [*keys, "_chunk"]
     group = Window.partitionBy(*in_chunk)
     inside = group.orderBy(*order)
     numbered = (
-        _chunked(rows, keys, order)
+        _chunked(rows, keys, order, parts)
         .withColumn("_i", F.row_number().over(inside))
         .withColumn("_sum", F.sum("_v").over(inside.rowsBetween(1 - n, 0)))
         .withColumn("_size", F.count(F.lit(1)).over(group))
@@ -150,13 +162,15 @@ def _rolling_sum_max_chunked(rows: DataFrame, keys: Sequence[str], order: Sequen
 
 def rolling_wins_max(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], won: str, n: int = 90,
-    name: str = "most_wins_in_stretch", hot_rows: int = HOT_ROWS,
+    name: str = "most_wins_in_stretch", hot_rows: int = HOT_ROWS, parts: int | None = None,
 ) -> DataFrame:
     """Most wins in any ``n`` consecutive games over all keys, as one row.
 
     A game is one (key, order) value, however many rows it has; it is won if
-    any of them says so.
+    any of them says so.  Games are grouped where ``df`` has them if it comes
+    partitioned by some of these columns; ``parts`` is as in
+    :func:`rolling_sum_max`.
     """
     games = df.groupBy(*keys, *order).agg(F.max(won).alias(won))
-    per_key = rolling_sum_max(games, keys, order, F.col(won), n, name, hot_rows)
+    per_key = rolling_sum_max(games, keys, order, F.col(won), n, name, hot_rows, parts)
     return per_key.agg(F.max(name).alias(name))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.functions.skew import broadcast_checked
+from tallyglass.functions.skew import broadcast_checked, parts_for
 from tallyglass.operators.bucketed import (
     average_per_game,
     kept_fact_join,
@@ -263,15 +263,21 @@ rolling AS (SELECT team_id, CAST(sum(won) OVER (PARTITION BY team_id ORDER BY ga
             ROWS BETWEEN 89 PRECEDING AND CURRENT ROW) AS BIGINT) AS wins FROM games)"""
 
 
-def results(t: Tables):
-    """One row per team and game, won if any of its rows says so; a game's day is its first row's."""
+def results(t: Tables, parts: int):
+    """One row per team and game, won if any of its rows says so; a game's day is its first row's.
+
+    A team has few rows in a game, so rows are dealt out before they are grouped: a group per row in every input split
+    would only fill memory.
+    """
     won = F.when(F.col("start_position") == "A", 1).otherwise(0)
-    return t.game_details().groupBy("team_id", "game_id").agg(F.min("game_date").alias("game_date"), F.max(won).alias("won"))
+    rows = t.game_details().repartition(parts, "team_id", "game_id")
+    return rows.groupBy("team_id", "game_id").agg(F.min("game_date").alias("game_date"), F.max(won).alias("won"))
 
 
 @query("rolling_wins_max", f"WITH {ROLLING} SELECT max(wins) AS most_wins_in_stretch FROM rolling")
 def q_rolling(t: Tables):
-    return rolling_wins_max(results(t), ["team_id"], ["game_date", "game_id"], "won", STRETCH_GAMES)
+    parts = parts_for(t.lineitem)
+    return rolling_wins_max(results(t, parts), ["team_id"], ["game_date", "game_id"], "won", STRETCH_GAMES, parts=parts)
 
 
 @query(
@@ -279,8 +285,9 @@ def q_rolling(t: Tables):
     f"WITH {ROLLING} SELECT team_id, max(wins) AS most_wins_in_stretch FROM rolling GROUP BY team_id",
 )
 def q_rolling_team(t: Tables):
-    order = ["game_date", "game_id"]
-    return rolling_sum_max(results(t), ["team_id"], order, F.col("won"), STRETCH_GAMES, "most_wins_in_stretch")
+    order, parts = ["game_date", "game_id"], parts_for(t.lineitem)
+    rows = results(t, parts)
+    return rolling_sum_max(rows, ["team_id"], order, F.col("won"), STRETCH_GAMES, "most_wins_in_stretch", parts=parts)
 
 
 @query(

@@ -1,12 +1,14 @@
 """Ordered operators against brute force, with one key holding a third of the rows or more."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 import pytest
 
+from __spark_entry__ import queries
 from tallyglass.operators.sessions import session_avg, session_check, session_compare, sessionize_batch
 from tallyglass.operators.windows import longest_streak, rolling_sum_max, rolling_wins_max
 from tests.conftest import rows_of
@@ -95,6 +97,37 @@ def test_wins_max_counts_a_game_once(spark):
     assert rolling_wins_max(df, ["team"], ["day"], "won", 90).collect()[0][0] == 5
 
 
+@pytest.mark.parametrize("parts,n,hot_rows", [(5, 90, 10**6), (5, 90, 100), (23, 7, 0)])
+def test_rolling_sum_in_given_parts_equals_brute_force(games, games_df, parts, n, hot_rows):
+    expected = {}
+    for team, wins in by_key(games).items():
+        expected[team] = max(sum(wins[max(0, i - n + 1) : i + 1]) for i in range(len(wins)))
+    value = F.when(F.col("won"), 1).otherwise(0)
+    got = rolling_sum_max(games_df, ["team"], ["day", "game"], value, n, "best", hot_rows, parts).collect()
+    assert {r.team: r.best for r in got} == expected
+    assert rolling_wins_max(
+        games_df.select("team", "day", "game", value.alias("won")), ["team"], ["day", "game"], "won", n, "best", hot_rows, parts
+    ).collect()[0][0] == max(expected.values())
+
+
+@pytest.mark.parametrize("name", ["rolling_wins_max", "rolling_wins_max_by_team"])
+def test_partitions_of_rolling_wins_grow_with_the_rows(spark, sf_dir, monkeypatch, name):
+    from tallyglass.functions.skew import parts_for
+    from tallyglass.plans import game_queries
+
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    assert parts_for(rows, 500) == -(-rows.count() // 500) > parts_for(rows) == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(game_queries, "parts_for", lambda df: parts_for(df, 500))
+    df = queries()[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\((team_id#\d+L(?:, game_id#\d+L)?), (\d+)\), REPARTITION_BY_NUM", plan)
+    assert {keys.count(",") for keys, _ in dealt} == {0, 1} and {n for _, n in dealt} == {str(parts_for(rows, 500))}
+    # nothing is grouped before the rows are dealt out
+    assert re.search(r"REPARTITION_BY_NUM[^\n]*\n[^\n]*(Project|BroadcastHashJoin)", plan)
+    monkeypatch.undo()
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, queries()[name](spark, sf_dir).collect()))
+
+
 START = datetime(2024, 1, 1)
 
 

@@ -232,7 +232,10 @@ def _pairs(row: dict, shards: int, hot: np.ndarray):
 
 
 def pair_answers(chunks: DataFrame, shards: int, hot: dict[int, int], prior: float = PRIOR) -> DataFrame:
-    """Stored rows (chunk, shard, codes): quantised probabilities from the trie for a chunk's pairs in a shard."""
+    """Rows (chunk, shard, codes): quantised probabilities from the trie for a chunk's pairs in a shard.
+
+    They are read once, by the exchange that brings them to their chunks, so they are not stored besides.
+    """
     hot_names = np.array(sorted(hot), "u8")
     hot_counts = {name >> 16: count for name, count in hot.items()}
 
@@ -283,7 +286,7 @@ def pair_answers(chunks: DataFrame, shards: int, hot: dict[int, int], prior: flo
         ask, "shard bigint, chunk bigint, first binary, runs binary, second binary, counts binary"
     )
     dealt = asked.repartition(shards, "shard").sortWithinPartitions("shard", "chunk")
-    return stored(dealt.mapInArrow(answer, "chunk bigint, shard bigint, codes binary"), "pair-answers")
+    return dealt.mapInArrow(answer, "chunk bigint, shard bigint, codes binary")
 
 
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"

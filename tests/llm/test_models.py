@@ -148,6 +148,14 @@ def test_trie_keeps_probabilities():
     assert (Trie(first[:0], second[:0], np.zeros(0))(first, second) == 0).all()
 
 
+def test_lm_stores_what_is_read_twice_only(spark, monkeypatch):
+    labels, store = [], lm.stored
+    monkeypatch.setattr(lm, "stored", lambda df, label: labels.append(label) or store(df, label))
+    rows = [(i, "the pair of the words " * (i % 5), "s") for i in range(40)]
+    assert len(lm.lm_scores(odd.documents(spark, rows)).collect()) == 40
+    assert labels == ["chunks", "word-answers"]
+
+
 def brute_lm(rows, prior=lm.PRIOR):
     texts = [(d, [*odd.words_of("".join(c.lower() if c.isascii() else c for c in t or "")), "END"]) for d, t, _ in rows]
     train = [w for d, w in texts if zlib.crc32(str(d if d is not None else "").encode()) % 10]

@@ -22,14 +22,10 @@ BROADCAST_IDS = 500_000
 SMOOTHING = 1.0
 #: A document below this mean log ratio is rejected.
 THRESHOLD = -0.5
-SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
+SPACES, SYMBOL = " \t\n\x0b\x0c\r", r"[#*$%&|<>]"
 SPAN = 5
 
 
-def _characters_outside(text: Column, characters: str) -> Column:
-    return F.length(F.translate(text, characters, ""))
-
-
 def words_in_repeats(words: Column, hashes: Column, span: int = SPAN) -> tuple[Column, Column]:
     """Columns: the hash of each window of ``span`` words, and from these (as column ``windows``) the words covered by windows that occur twice or more."""
     size = F.size(words)
@@ -49,20 +45,18 @@ def base_columns(docs: DataFrame) -> DataFrame:
     Words and windows compare by 64-bit hash.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.ltrim(x, F.lit(SPACES)) != "")
     rows = rows.select(
         "doc_id",
         "text",
         F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"),
         lines.alias("lines"),
-        _characters_outside(F.col("text"), SPACES).cast("bigint").alias("word_chars"),
-        (F.length("text") - _characters_outside(F.col("text"), SYMBOLS)).cast("bigint").alias("n_symbols"),
     )
     rows = rows.select(
         "doc_id",
         "text",
-        "word_chars",
-        "n_symbols",
+        F.length(F.concat_ws("", "words")).cast("bigint").alias("word_chars"),
+        F.regexp_count("text", F.lit(SYMBOL)).cast("bigint").alias("n_symbols"),
         F.size("words").cast("bigint").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),

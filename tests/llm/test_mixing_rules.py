@@ -168,6 +168,17 @@ def test_rules_equal_brute_force(spark):
             assert abs(near[str(r["doc_id"]), r["n_words"]] - r["ratio"]) < 2e-3
 
 
+def test_characters_are_counted_without_a_table_lookup_for_each(spark):
+    texts = ["", None, " \x0b\n\x0c\r\t", "a\x0b\n\x0b\n a\x0b\na\x0b", "#*$%&|<>\u00a0\U0001f600 \x85\n\u00a0\n\u00a0", "x\r\nx\r\n\r\n\r\n"]
+    df = rules.base_columns(odd.documents(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    for r in df.collect():
+        text = texts[r["doc_id"]] or ""
+        lines = [x for x in text.split("\n") if WORDS.search(x)]
+        wanted = (sum(map(len, WORDS.findall(text))), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)))
+        assert (r["word_chars"], r["n_symbols"], r["n_dup_lines"]) == wanted
+    assert "translate(" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rules_without_labels_or_rows(spark):
     docs = odd.documents(spark)
     kept = rules.quality_rules(docs, odd.labels(spark, [])).collect()
